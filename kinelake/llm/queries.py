@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import bitslice, langid, packing, permutation, pieces
+from kinelake.llm import bitslice, langid, ngram_join, packing, permutation, pieces
 from kinelake.llm.common import Scratch, table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(Scratch(spark), table(spark, sf_dir, "documents"), percent=80, k=5)
+
+
 def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs)
@@ -42,7 +46,7 @@ def op10_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.neighbours(Scratch(spark), v, v.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_cnn_language, op3_sentencepiece, op7_bit_sliced_topk, op9_lexical_packing, op10_permutation_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_cnn_language, op3_sentencepiece, op7_bit_sliced_topk, op9_lexical_packing, op10_permutation_neighbours)}
 
 ORACLE_SQL = {
     "op7_bit_sliced_topk": """
