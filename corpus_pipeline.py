@@ -1,12 +1,63 @@
-"""The corpus pipeline: see STAGES."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard dedup, secret scans, packing.
+
+Every stage takes (spark, docs, sf_dir) with docs as written by the stage before, works on all rows it gets, and returns the columns of documents (the last
+one its pieces). run() writes each stage's result to shared storage and reads it back for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinelake.llm import langid, line_dedup, ngram_join, packing, secrets
+from kinelake.llm.common import Scratch, table
+from kinelake.llm.queries import tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose language is undetermined, or predicted with less than this score, are rejected.
+LEAST_SCORE = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told; those without letters or with a score below LEAST_SCORE go."""
+    return langid.identify(docs).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later occurrences of three-line windows; documents left without text go, as nothing of their own is in them."""
+    d = line_dedup.deduplicated(Scratch(spark), docs, size=3)
+    return d.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component."""
+    out = ngram_join.joined(Scratch(spark), docs, percent=80, k=5)
+    gone = out.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; every document stays."""
+    d = secrets.redacted(docs.withColumn("__old", F.col("text")))
+    return d.withColumn("n_chars", F.when(F.col("text") != F.col("__old"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 2048 tokens."""
+    return packing.packed(docs, tokenizer_file("word_bpe_49k.json").decode(), end=1)
+
 
-STAGES: list = []
+STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("secret scans", redact), ("packing", pack)]
+#: The language model and the tokenizer are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    scratch, before = Scratch(spark), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
