@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import bitslice, langid, licenses, line_dedup, ngram_join, packing, permutation, pieces, secrets
+from kinelake.llm import bitslice, langid, licenses, line_dedup, ngram_join, packing, permutation, pieces, secrets, substring_dedup
 from kinelake.llm.common import Scratch, table
 
 
@@ -36,6 +36,10 @@ def op4_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(Scratch(spark), table(spark, sf_dir, "documents"), percent=80)
+
+
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda x: x.k == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
@@ -61,7 +65,7 @@ def op10_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.neighbours(Scratch(spark), v, v.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_cnn_language, op3_sentencepiece, op4_license_digests, op6_markov_secrets, op7_bit_sliced_topk, op8_line_windows, op9_lexical_packing, op10_permutation_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_cnn_language, op3_sentencepiece, op4_license_digests, op5_paragraph_minhash, op6_markov_secrets, op7_bit_sliced_topk, op8_line_windows, op9_lexical_packing, op10_permutation_neighbours)}
 
 ORACLE_SQL = {
     "op4_license_digests": licenses.sql(),
