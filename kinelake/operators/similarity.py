@@ -1,23 +1,83 @@
-"""Similarity self-joins."""
+"""Similarity self-joins over vectors: exact by blocks, and the per-shot caps and channels of retrieval."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows of a block; a task holds two blocks and their product.
+BLOCK = 2048
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
+    return np.where(n > 1e-12, np.clip(a @ b.T / np.where(n > 1e-12, n, 1), -1, 1), 0.0)
+
+
+def _rms(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.exp(-np.sqrt(np.maximum(d2, 0) / a.shape[1]))
+
+
+MEASURES = {"cosine": _cosine, "rms": _rms}
+
+
+def pairs_above(v: DataFrame, least: float, measure: str = "cosine") -> DataFrame:
+    """(i, j, score) of all pairs i < j of (id, v) rows whose similarity is `least` or more; exact.
+
+    Rows are dealt by a hash to blocks of about BLOCK; a block travels as one row to each pair of blocks it belongs to, an equi-join of blocks, and each pair
+    is one matrix product. Vectors that are null, not finite or of another length than most of their block's take no part.
+    """
+    score = MEASURES[measure]
+    x = F.transform("v", lambda c: c.cast("double"))
+    v = v.select(F.col("id").cast("long").alias("id"), x.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
+    blocks = max(1, -(-v.count() // BLOCK))
+
+    def pack(t: pa.Table) -> pa.Table:
+        size = t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(t) else []
+        rows = np.stack([np.asarray(r, np.float64) for r in t.column("v").to_pylist() if len(r) == int(np.median(size))])
+        ids = np.array([i for i, n in zip(t.column("id").to_pylist(), size) if n == int(np.median(size))], np.int64)
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "d": pa.array([rows.shape[1]], pa.int32()), "ids": [ids.tobytes()], "rows": [rows.tobytes()]})
+
+    b = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, d int, ids binary, rows binary")
+    left = b.withColumn("other", F.explode(F.sequence("block", F.lit(blocks - 1)))).select(F.col("block").alias("p"), F.col("other").alias("q"), "d", "ids", "rows")
+    right = b.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select(F.col("other").alias("p"), F.col("block").alias("q"), "d", F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))
+
+    def run(batches):
+        for t in batches:
+            for r in t.to_pylist():
+                i, j = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
+                s = score(np.frombuffer(r["rows"]).reshape(-1, r["d"]), np.frombuffer(r["rows2"]).reshape(-1, r["d"]))
+                ok = s >= least
+                if r["p"] == r["q"]:
+                    ok &= i[:, None] < j[None]
+                a, c = np.nonzero(ok)
+                yield pa.RecordBatch.from_pydict({"i": np.minimum(i[a], j[c]), "j": np.maximum(i[a], j[c]), "score": s[a, c]})
+
+    return left.join(right, ["p", "q", "d"]).select("p", "q", "d", "ids", "rows", "ids2", "rows2").mapInArrow(run, "i long, j long, score double").where("i <> j")
+
 
-def cosine(a, b):
-    """Cosine in double, clamped to [-1, 1]; 0 for vectors of no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = dot(a, a) * dot(b, b)
-    return F.when(norm > 1e-24, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(norm)))).otherwise(0.0)
+def capped_neighbours(v: DataFrame, per_shot: int, k: int, least: float, measure: str = "cosine") -> DataFrame:
+    """v: (id, shot, v). Each id's nearest rows of other shots, at most per_shot of a shot and k in all, as pairs (left_id < right_id, score)."""
+    shot = v.select("id", "shot")
+    p = pairs_above(v.select("id", "v"), least, measure)
+    p = p.union(p.select("j", "i", "score"))
+    p = p.join(shot.select(F.col("id").alias("i"), F.col("shot").alias("si")), "i").join(shot.select(F.col("id").alias("j"), F.col("shot").alias("sj")), "j").where("si <> sj")
+    order = [F.desc(F.round("score", 9)), "j"]
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("i", "sj").orderBy(*order))).where(F.col("n") <= per_shot)
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(*order))).where(F.col("n") <= k)
+    return p.groupBy(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id")).agg(F.max("score").alias("score"))
 
 
-def capped_neighbours(v: DataFrame, per_shot: int, k: int, least: float) -> DataFrame:
-    """v: (id, shot, v). Each id's nearest rows of other shots, at most per_shot of a shot and k in all; pairs once, smaller id left."""
-    a, b = v.select(F.col("id").alias("i"), F.col("shot").alias("si"), F.col("v").alias("vi")), v.select(F.col("id").alias("j"), F.col("shot").alias("sj"), F.col("v").alias("vj"))
-    s = a.join(b, F.col("si") != F.col("sj")).select("i", "j", "sj", cosine(F.col("vi"), F.col("vj")).alias("score")).where(F.col("score") >= least)
-    order = [F.desc("score"), "j"]
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("i", "sj").orderBy(*order))).where(F.col("n") <= per_shot)
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(*order))).where(F.col("n") <= k)
-    return s.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), "score").groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
+def channels(v: DataFrame, cosine: float, rms: float) -> DataFrame:
+    """Candidates of two retrieval channels united: (i, j, by_identity, by_pose), each pair once."""
+    a = pairs_above(v, cosine, "cosine").select("i", "j", F.lit(True).alias("a"), F.lit(False).alias("b"))
+    b = pairs_above(v, rms, "rms").select("i", "j", F.lit(False), F.lit(True))
+    return a.union(b).groupBy("i", "j").agg(F.bool_or("a").alias("by_identity"), F.bool_or("b").alias("by_pose"))

@@ -1,18 +1,4 @@
-"""All registered queries of the engine itself and their SQL."""
+"""All registered queries of the engine itself, each with its SQL where SQL can express it."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kinelake.operators import similarity
-
-
-def similar_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    pairs = similarity.capped_neighbours(v.select(F.col("vec_id").alias("id"), F.col("label").alias("shot"), F.col("embedding").alias("v")), per_shot=4, k=24, least=0.25)
-    return pairs.select("left_id", "right_id", F.round("score", 6).alias("score"))
-
-
-QUERIES = {"similar_pairs_topk": similar_pairs_topk}
-ORACLE_SQL: dict[str, str] = {}
+from kinelake.plans import analysis, exports, motion, retrieval, timelines  # noqa: F401  (they register their queries)
+from kinelake.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
