@@ -16,15 +16,15 @@ from kinelake.llm.common import U64, Scratch, mix, partitions, ship
 ship(__name__)
 
 #: Signatures of a flush; a signature that occurs so often in one flush is made a star there, and only its pivot goes on.
-FLUSH, LOCAL = 1 << 20, 8
+FLUSH, LOCAL = 1 << 18, 8
 #: Bytes of a membership filter in all: what goes to the driver and back is bounded by this.
 FILTER_BYTES = 1 << 22
 LOW = U64(0xFFFFFFFF)
 
 
 def buckets_of(spark) -> int:
-    """Buckets of signatures: several a shuffle partition, so that they grow with the input as partitions do."""
-    return max(256, 4 * partitions(spark))
+    """Buckets of signatures: at least one a shuffle partition, so that they grow with the input as partitions do."""
+    return max(256, partitions(spark))
 
 
 def placed(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -39,15 +39,18 @@ def split(v: np.ndarray, buckets: int):
         yield int(b), edge[b], edge[b + 1]
 
 
+#: Longs of a sketch: a bitmap of fixed size that travels with an id.
+SKETCH = 8
 STARS = "sig long, pivot long, id long"
+ENTRY_NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id")
 ENTRIES = f"bucket int, keys binary, ids binary, ranks binary, {STARS}"
 
 
 class Signer:
     """Collects (signature, id, rank) and flushes them as blocks and local stars."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.n = buckets, [], 0
+    def __init__(self, buckets: int, names: tuple | None = None):
+        self.buckets, self.held, self.n, self.names = buckets, [], 0, names or ENTRY_NAMES
 
     def add(self, sig: np.ndarray, ids: np.ndarray, rank: np.ndarray):
         self.held.append((placed(sig, self.buckets), ids, rank))
@@ -69,26 +72,26 @@ class Signer:
         out = []
         if many.any():
             pivot = np.repeat(ids[first], size)
-            out.append(batch(sig=sig[many].astype(np.int64), pivot=pivot[many], id=ids[many]))
+            out.append(batch(self.names, sig=sig[many].astype(np.int64), pivot=pivot[many], id=ids[many]))
         keep = lead | ~many
         sig, ids, rank = sig[keep], ids[keep], rank[keep]
         parts = list(split(sig, self.buckets))
         key = (sig & LOW).astype("<u4")
-        out.append(batch(bucket=[b for b, _, _ in parts], keys=[key[a:z].tobytes() for _, a, z in parts], ids=[ids[a:z].tobytes() for _, a, z in parts], ranks=[rank[a:z].tobytes() for _, a, z in parts]))
+        out.append(batch(self.names, bucket=[b for b, _, _ in parts], keys=[key[a:z].tobytes() for _, a, z in parts], ids=[ids[a:z].tobytes() for _, a, z in parts], ranks=[rank[a:z].tobytes() for _, a, z in parts]))
         return out
 
 
-KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "info": pa.int64()}
+KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bits": pa.binary(), "singles": pa.int64(), **{f"s{i}": pa.int64() for i in range(SKETCH)}}
 
 
-def batch(names: tuple = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "d1", "d2"), **cols) -> pa.RecordBatch:
+def batch(names: tuple, **cols) -> pa.RecordBatch:
     """A record batch of all of `names`, null where a column isn't given."""
     n = len(next(iter(cols.values())))
     return pa.RecordBatch.from_arrays([pa.array(cols[c], KINDS[c]) if c in cols else pa.nulls(n, KINDS[c]) for c in names], list(names))
 
 
-def stars(entries: DataFrame) -> DataFrame:
-    """Blocks and local stars -> (sig, pivot, id), a row for each member (the pivot too) of each signature of two members or more."""
+def stars(scratch: Scratch, entries: DataFrame) -> DataFrame:
+    """Blocks and local stars -> (sig, pivot, id), a row for each member (the pivot too) of each signature of two members or more; one pivot a signature."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -108,8 +111,10 @@ def stars(entries: DataFrame) -> DataFrame:
         sig = (np.int64(t.column("bucket")[0].as_py()) << np.int64(32)) | k.astype(np.int64)
         return pa.table({"sig": sig, "pivot": np.repeat(ids[order][first], size), "id": ids[order]})
 
-    met = entries.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "ranks").groupBy("bucket").applyInArrow(run, STARS)
-    return met.union(entries.where("sig IS NOT NULL").select("sig", "pivot", "id"))
+    met = scratch.write(entries.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "ranks").groupBy("bucket").applyInArrow(run, STARS))
+    top = met.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("top"))
+    local = entries.where("sig IS NOT NULL").select("sig", "pivot", "id").join(top, ["sig", "pivot"], "left").where("top IS NULL OR pivot <> id")
+    return met.union(local.select("sig", F.coalesce("top", "pivot"), "id"))
 
 
 # ---- membership filters ----
@@ -123,12 +128,8 @@ def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Filter:
     """A Bloom filter in as many slices as there are buckets, FILTER_BYTES in all: no false negatives, and the same answer everywhere."""
 
-    def __init__(self, rows: list, buckets: int):
-        self.buckets, self.size = buckets, slice_bits(buckets)
-        bits = np.zeros((buckets, self.size // 8), np.uint8)
-        for b, x in rows:
-            bits[b] = np.frombuffer(x, np.uint8)
-        self.bits = bits.reshape(-1)
+    def __init__(self, buckets: int, bits: np.ndarray):
+        self.buckets, self.size, self.bits = buckets, slice_bits(buckets), bits
 
     def test(self, h: np.ndarray) -> np.ndarray:
         v = placed(h, self.buckets)
@@ -141,6 +142,14 @@ class Filter:
         return (one & (self.bits[q >> 3] >> (q & 7).astype(np.uint8))).astype(bool)
 
 
+def sent(spark, rows: list, buckets: int):
+    """Broadcasts a filter made of (bucket, slice) rows, as plain arrays: Filter(*value) is the filter."""
+    bits = np.zeros((buckets, slice_bits(buckets) // 8), np.uint8)
+    for b, x in rows:
+        bits[b] = np.frombuffer(x, np.uint8)
+    return spark.sparkContext.broadcast((buckets, bits.reshape(-1)))
+
+
 def slice_bits(buckets: int) -> int:
     return max(512, FILTER_BYTES * 8 // buckets // 8 * 8)
 
@@ -158,8 +167,8 @@ def id_hash(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(U64))
 
 
-def filter_of(ids: DataFrame, buckets: int = 256) -> Filter:
-    """A filter over a table of ids; a slice is made by the task that has its bucket."""
+def filter_of(ids: DataFrame, buckets: int = 256):
+    """A filter over a table of ids, sent to all; a slice is made by the task that has its bucket."""
 
     def tag(batches):
         for b in batches:
@@ -173,38 +182,97 @@ def filter_of(ids: DataFrame, buckets: int = 256) -> Filter:
         return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "keys": pa.array([out.tobytes()], pa.binary())})
 
     rows = ids.mapInArrow(tag, "bucket int, keys binary").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary").collect()
-    return Filter([(r[0], r[1]) for r in rows], buckets)
+    return sent(ids.sparkSession, rows, buckets)
 
 
 # ---- verification ----
 
 
-def verified(pairs: DataFrame, sets: DataFrame, chunk: int = 64) -> DataFrame:
+def bitmaps(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of each row's hashes, of 2 to 4 bits a hash: its size is a power of two, so larger ones fold to smaller."""
+    edge, out = np.concatenate([[0], np.cumsum(n)]), []
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        size = 1 << max(6, (2 * (z - a) - 1).bit_length())
+        bits = np.zeros(size, np.uint8)
+        bits[(h[a:z] & U64(size - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def sketches(h: np.ndarray, n: np.ndarray) -> dict:
+    """Bitmaps of 64 * SKETCH bits of each row's hashes, as columns s0, s1, ..."""
+    bits = np.zeros((len(n), 64 * SKETCH), np.uint8)
+    bits[np.repeat(np.arange(len(n)), n), (h % U64(64 * SKETCH)).astype(np.int64)] = 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return {f"s{i}": words[:, i] for i in range(SKETCH)}
+
+
+def alone(x: str, y: str):
+    """At least so many hashes of side x aren't of side y, as a bit that only one sketch has is a hash that it alone has."""
+    return sum((F.bit_count(F.col(f"s{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}{y}")))) for i in range(SKETCH)), F.lit(0))
+
+
+def bounded(pairs: DataFrame, node: DataFrame) -> DataFrame:
+    """pairs (a, b), node (id, n, bits) -> (a, b, na, nb, most): no more than `most` hashes can be shared, as a bit that only one side has is a hash that it alone has."""
+    side = lambda k: node.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
+
+    def run(batches):
+        for t in batches:
+            a, b, na, nb, xa, xb = (t.column(i) for i in range(6))
+            na, nb, most = na.to_numpy(), nb.to_numpy(), np.zeros(len(t), np.int64)
+            for i in range(len(t)):
+                x, y = np.frombuffer(xa[i].as_buffer(), np.uint64), np.frombuffer(xb[i].as_buffer(), np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] | x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                most[i] = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(na), pa.array(nb), pa.array(most)], ["a", "b", "na", "nb", "most"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, na long, nb long, most long")
+
+
+#: Ids of a verification block.
+BLOCK_IDS = 128
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b), sets (id, hashes: ordered 64-bit hashes as binary) -> (a, b, na, nb, shared).
 
-    An id with very many partners is sent once to each group of about `chunk` of them, chosen by a hash, so no task holds them all.
+    Ids are dealt by a hash to blocks of about BLOCK_IDS, and a pair goes to its pair of blocks. A set is sent once to each pair of blocks that needs it, not once
+    a pair, so an id with very many partners is neither repeated for each nor held together with all of them. Rows arrive sorted, sets before pairs, and are
+    worked on as a stream that holds one pair of blocks.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(chunk))).alias("groups"))
-    p = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("part"))
-    right = p.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    left = p.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    blocks = max(1, -(-sets.count() // BLOCK_IDS))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    p = pairs.select("a", "b", of("a").alias("p"), of("b").alias("q"))
+    needed = p.select("p", "q", F.col("a").alias("id")).union(p.select("p", "q", "b")).distinct().join(sets, "id")
+    none = F.lit(None)
+    rows = needed.select("p", "q", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "hashes").union(p.select("p", "q", F.lit(1), "a", "b", none.cast("binary")))
+    rows = rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind")
 
     def run(batches):
-        for b in batches:
-            n, na, nb = [], [], []
-            for i in range(len(b)):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in (2, 3))
-                na.append(len(x))
-                nb.append(len(y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-                n.append(int((y[at] == x).sum()) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "na", "nb", "shared"])
-
-    return right.join(left, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, shared long")
-
-
-def similar(percent: int):
-    """Jaccard of `percent` or more, in integers, over columns na, nb, shared."""
-    return F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+        at, held = None, {}
+        for t in batches:
+            key, kind, a, b = list(zip(t.column(0).to_pylist(), t.column(1).to_pylist())), t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4).to_pylist()
+            out = []
+            for i in range(len(t)):
+                if key[i] != at:
+                    at, held = key[i], {}
+                if kind[i] == 0:
+                    held.setdefault(a[i], []).append(np.frombuffer(t.column(5)[i].as_py(), U64))
+                    continue
+                for x in held.get(a[i], ()):
+                    for y in held.get(b[i], ()):
+                        u, v = (x, y) if len(x) <= len(y) else (y, x)
+                        n = int((v[np.minimum(np.searchsorted(v, u), max(0, len(v) - 1))] == u).sum()) if len(u) else 0
+                        out.append((a[i], b[i], len(x), len(y), n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "na", "nb", "shared"])
+
+    return rows.mapInArrow(run, "a long, b long, na long, nb long, shared long")
+
+
+def similar(percent: int, shared: str = "shared"):
+    """Jaccard of `percent` or more, in integers, over columns na, nb and the number of shared hashes."""
+    return F.col(shared) * 100 >= (F.col("na") + F.col("nb") - F.col(shared)) * percent

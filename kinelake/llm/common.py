@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -52,6 +53,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of finished steps, which else stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
@@ -116,8 +122,11 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return _tables["t"], _tables["w"]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of other bytes than blank and 9-13) of all rows: 64-bit hashes without regard to A-Z's case, starts, ends, and each row's first word (one more at the end)."""
+def words(data: np.ndarray, off: np.ndarray, trim=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of other bytes than blank and 9-13) of all rows: 64-bit hashes without regard to A-Z's case, starts, ends, and each row's first word (one more at the end).
+
+    trim(starts, ends) may move the ends back before words are hashed.
+    """
     t, is_word = _letters()
     n = len(data)
     if not n:
@@ -132,6 +141,8 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    if trim is not None:
+        end = trim(start, end)
     total = np.empty(n + 1, U64)
     total[0] = 0
     np.cumsum(t[data] * p[:n], out=total[1:])
@@ -202,18 +213,17 @@ def components(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFram
     Each step is a min-aggregation and an equi-join, so a node with very many links is pre-aggregated before any shuffle; links go to shared storage after each round.
     """
     e = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    print_of = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = print_of(e)
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m"))).where("a <> b").distinct()
-        new = scratch.write(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        left = new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        fixed = new.groupBy("a").count().where("count > 1").isEmpty() and left.isEmpty()
+        new = scratch.write(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(small.select("a", "m")).where("a <> b").distinct())
         scratch.drop(e)
-        e = new
-        if fixed:
+        e, was, seen = new, seen, print_of(new)
+        if seen == was:  # a round that changes nothing leaves a star for each component
             break
     return nodes.join(e.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))

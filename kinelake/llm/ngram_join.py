@@ -22,7 +22,9 @@ ship(__name__)
 
 #: A token in more texts than this is frequent.
 FREQUENT = 32
-SINGLE, COMBINED = U64(0x2545F4914F6CDD1D), U64(0xD6E8FEB86659FD93)
+SKETCHED = tuple(f"s{i}" for i in range(C.SKETCH))
+NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "d1", "d2", "bits", "singles", *SKETCHED)
+SINGLE, COMBINED, EVEN = U64(0x2545F4914F6CDD1D), U64(0xD6E8FEB86659FD93), U64(0xFFFFFFFFFFFFFFFE)
 
 
 def token_sets(col: pa.Array, k: int):
@@ -33,7 +35,7 @@ def token_sets(col: pa.Array, k: int):
         yield lo, hi, *sets(*shingles(h, first, k))
 
 
-def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT) -> C.Filter:
+def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT):
     """A filter that holds every token in more than `most` texts. Counts cover all texts: tokens are pre-aggregated in blocks, then counted per bucket."""
 
     def count(batches):
@@ -81,11 +83,12 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
         return pa.table({"bucket": pa.array([b] * len(bits), pa.int32()), "keys": pa.array(bits, pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "bucket int, keys binary, at binary, size binary").groupBy("bucket").applyInArrow(total, "bucket int, keys binary").collect()
-    return C.Filter([(r[0], r[1]) for r in rows], buckets)
+    return C.sent(docs.sparkSession, rows, buckets)
 
 
-def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of rows with tokens h (n a row) of which `often` marks the frequent; the rows they come from; each row's share of rare tokens, 0 to 65535."""
+def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of rows with tokens h (n a row) of which `often` marks the frequent (single tokens even, combinations odd); the rows they come from; each row's share
+    of rare tokens, 0 to 65535; each row's number of rare single signatures."""
     row = np.repeat(np.arange(len(n)), n)
     rare_n = np.bincount(row[~often], minlength=len(n))
     need = 2 * (100 - percent) * n // 100 + 1
@@ -101,24 +104,25 @@ def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) ->
         return h[mask][keep], r[keep]
 
     a, r = first_of(~often, rare_take)
-    out.append(mix(a ^ SINGLE))
+    out.append(mix(a ^ SINGLE) & EVEN)
     rows.append(r)
+    singles = np.bincount(r, minlength=len(n))
     if often.any():
         a, r = first_of(often, often_take)
         same = r[1:] == r[:-1]
-        out.append(mix(a[:-1][same] * COMBINED + a[1:][same]))
+        out.append(mix(a[:-1][same] * COMBINED + a[1:][same]) | U64(1))
         rows.append(r[1:][same])
         one = np.flatnonzero((n == 1) & (rare_n == 0))
-        out.append(mix(h[np.searchsorted(row, one)] ^ SINGLE))
+        out.append(mix(h[np.searchsorted(row, one)] ^ SINGLE) & EVEN)
         rows.append(one)
-    return np.concatenate(out), np.concatenate(rows), (65535 * rare_n // np.maximum(1, n)).astype(np.uint16)
+    return np.concatenate(out), np.concatenate(rows), (65535 * rare_n // np.maximum(1, n)).astype(np.uint16), singles
 
 
 def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataFrame:
-    """Blocks of signatures, local stars, and a row (id, n, d1, d2) for each text: its number of tokens and a 128-bit digest of its set."""
+    """Blocks of signatures, local stars, and a row (id, n, d1, d2, bits) for each text: its number of tokens, a 128-bit digest and a bitmap of its set."""
 
     def run(batches):
-        signer, known = C.Signer(buckets), often.value
+        signer, known = C.Signer(buckets, NAMES), C.Filter(*often.value)
         for b in batches:
             ids = b.column(0)
             for lo, hi, h, n in token_sets(b.column(1), k):
@@ -129,22 +133,22 @@ def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataF
                 if full.any():
                     d1[full] = np.add.reduceat(m, at[full])
                     d2[full] = np.add.reduceat(mix(m ^ COMBINED), at[full])
-                yield C.batch(id=own, n=n, d1=d1.view(np.int64), d2=d2.view(np.int64))
-                sig, row, rank = signatures(h, n, known.test(h), percent)
+                sig, row, rank, singles = signatures(h, n, known.test(h), percent)
+                yield C.batch(NAMES, id=own, n=n, d1=d1.view(np.int64), d2=d2.view(np.int64), bits=C.bitmaps(h, n), singles=singles, **C.sketches(h, n))
                 given = np.asarray(own.is_valid())
                 ok = given[row]
                 key = np.asarray(own.fill_null(0), np.int64)
                 yield from signer.add(sig[ok], key[row[ok]], rank[row[ok]])
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, d1 long, d2 long")
+    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, d1 long, d2 long, bits binary, singles long, {', '.join(f'{c} long' for c in SKETCHED)}")
 
 
 def sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
     """(id, hashes) of texts whose id passes a filter (broadcast)."""
 
     def run(batches):
-        known = wanted.value
+        known = C.Filter(*wanted.value)
         for b in batches:
             ids = b.column(0)
             own = np.asarray(ids.is_valid()) & known.test(C.id_hash(np.asarray(ids.fill_null(0))))
@@ -160,22 +164,29 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def across(star: DataFrame, found: DataFrame, node: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+def across(star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that stars leave open: members of one signature in different components, one of each set of equal texts.
 
-    Pairs with the pivot have been verified. Jaccard distance is a metric, so of two members of a star whose distances to the pivot differ by more than the
-    limit no link is possible. Signatures whose members are all in one component, most of them, need nothing more.
+    node: (id, n, d1, d2, singles: rare tokens indexed alone, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
+    been verified. Signatures whose members are all in one component, most of them, need nothing more; in others, members outside the pivot's component meet all
+    members of other components, unless a bound rules the link out. Such bounds keep the hot groups small: what x and y share lies in the pivot, or it is a token
+    of x that neither the pivot holds nor is x's alone; so they share at most what y and the pivot do and the number of such tokens of x. A rare token indexed alone that met
+    no other text is its text's alone. Sketches bound it too.
     """
     member = star.join(found, "id")
-    open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    far = met.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
-    own = member.where("pivot <> id").join(open_, "sig").join(node, "id").join(far, ["pivot", "id"], "left")
-    own = own.groupBy("sig", "n", "d1", "d2").agg(F.min(F.struct("id", "component", "pivot", "far")).alias("m")).select("sig", "n", "m.*")
-    x = own.select("sig", *[F.col(c).alias(f"{c}1") for c in ("n", "id", "component", "pivot", "far")])
-    y = own.select("sig", *[F.col(c).alias(f"{c}2") for c in ("n", "id", "component", "pivot", "far")])
-    near = F.col("far1").isNull() | F.col("far2").isNull() | (F.col("pivot1") != F.col("pivot2")) | (F.abs(F.col("far1") - F.col("far2")) <= 1 - percent / 100 + 1e-9)
-    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    return x.join(y, "sig").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & fits & near).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")).where("lo <> hi").select("sig", "main")
+    met = star.where("sig % 2 = 0").groupBy("id").agg(F.count("*").alias("met"))
+    size = node.select("id", "n", "d1", "d2", "singles", *SKETCHED).join(met, "id", "left").select("id", "n", "d1", "d2", *SKETCHED, F.greatest(F.lit(0), F.col("singles") - F.coalesce("met", F.lit(0))).alias("alone"))
+    far = far.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    own = member.where("pivot <> id").join(open_, "sig").join(size, "id").join(far, ["pivot", "id"], "left")
+    own = own.withColumn("most", F.coalesce("most", "n")).withColumn("other", F.greatest(F.lit(0), F.col("n") - F.coalesce("least", F.lit(0)) - F.col("alone")))
+    kept = ("n", "id", "component", "most", "other", *SKETCHED)
+    own = own.groupBy("sig", "main", "n", "d1", "d2").agg(F.min(F.struct(*kept[1:])).alias("m")).select("sig", "main", "n", "m.*")
+    x = own.where("component <> main").select("sig", *[F.col(c).alias(f"{c}1") for c in kept])
+    y = own.select("sig", *[F.col(c).alias(f"{c}2") for c in kept])
+    share = F.least(F.col("most1") + F.col("other2"), F.col("most2") + F.col("other1"), F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
+    near = share * 100 >= (F.col("n1") + F.col("n2") - share) * percent
+    return x.join(y, "sig").where((F.col("id1") != F.col("id2")) & (F.col("component1") != F.col("component2")) & near).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,26 +201,37 @@ def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_
         raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets, cast = C.buckets_of(spark), spark.sparkContext.broadcast
-    often = cast(frequent_filter(docs, buckets, k))
+    buckets = C.buckets_of(spark)
+    often = frequent_filter(docs, buckets, k)
+    scratch.release()
     index = scratch.write(indexed(docs, often, buckets, k, percent))
-    info = index.where("n IS NOT NULL").select("id", "n", "d1", "d2")
-    star = scratch.write(C.stars(index))
+    info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "d1", "d2", "bits", "singles", *SKETCHED))
+    star = scratch.write(C.stars(scratch, index))
+    scratch.drop(index)
+    scratch.release()
     node = info.where("id IS NOT NULL AND n > 0")
     side = lambda s: node.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.struct("d1", "d2").alias(f"d{s}"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     pairs = star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", (F.col("da") == F.col("db")).alias("same")))
-    fresh = pairs.where("NOT same").select("a", "b")
-    whole = scratch.write(sets_of(docs, cast(C.filter_of(ends(fresh))), k))
-    met = scratch.write(C.verified(fresh, whole))
+    pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("da") == F.col("db")).alias("same")))
+    fresh = scratch.write(C.bounded(pairs.where("NOT same").select("a", "b"), node))
+    open_ = fresh.where(C.similar(percent, "most")).select("a", "b")
+    whole = scratch.write(sets_of(docs, C.filter_of(ends(open_)), k))
+    met = scratch.write(C.verified(open_, whole))
+    scratch.drop(whole)
+    scratch.release()
+    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(fresh.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
+    far = far.union(pairs.where("same").join(side("a"), "a").select("a", "b", "na", "na"))
     copies = node.join(node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"), ["n", "d1", "d2"]).select("a", F.col("id").alias("b"))
     links = scratch.write(copies.union(met.where(C.similar(percent)).select("a", "b")).where("a <> b").distinct())
     every = node.select("id").distinct()
     found = scratch.write(components(scratch, every, links))
-    rest = scratch.write(across(star, found, node, met, percent))
+    rest = scratch.write(C.bounded(across(star, found, node, far, percent), node).where(C.similar(percent, "most")).select("a", "b"))
+    scratch.drop(star)
+    scratch.release()
     if not rest.isEmpty():
-        whole = scratch.write(sets_of(docs, cast(C.filter_of(ends(rest))), k))
-        more = C.verified(rest, whole).where(C.similar(percent)).select("a", "b")
+        whole = scratch.write(sets_of(docs, C.filter_of(ends(rest)), k))
+        more = scratch.write(C.verified(rest, whole).where(C.similar(percent)).select("a", "b"))
+        scratch.drop(whole)
+        scratch.release()
         found = scratch.write(components(scratch, every, links.union(more)))
     return info.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

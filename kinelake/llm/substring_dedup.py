@@ -98,7 +98,7 @@ def banded(docs: DataFrame, buckets: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted) -> DataFrame:
     """(id, hashes) of the paragraphs that pass a filter (broadcast): their ordered distinct shingles."""
     def run(batches):
-        known = wanted.value
+        known = C.Filter(*wanted.value)
         for b in batches:
             b = b.filter(b.column(0).is_valid())
             data, off = utf8(b.column(1))
@@ -134,18 +134,27 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets, cast = C.buckets_of(spark), spark.sparkContext.broadcast
-    star = scratch.write(C.stars(scratch.write(banded(docs, buckets))))
+    buckets = C.buckets_of(spark)
+    index = scratch.write(banded(docs, buckets))
+    star = scratch.write(C.stars(scratch, index))
+    scratch.drop(index)
+    scratch.release()
     pairs = scratch.write(star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    whole = scratch.write(sets_of(docs, cast(C.filter_of(ends(pairs)))).distinct())
+    whole = scratch.write(sets_of(docs, C.filter_of(ends(pairs))).distinct())
     met = scratch.write(C.verified(pairs, whole))
     links = scratch.write(met.where(C.similar(percent)).select("a", "b"))
-    node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"))
+    node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), F.lit(0).alias("singles"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(C.SKETCH)])
     every = node.select("id")
     found = scratch.write(components(scratch, every, links))
-    rest = scratch.write(across(star, found, node, met, percent))
+    scratch.release()
+    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most"))
+    rest = scratch.write(across(star, found, node, far, percent))
+    scratch.drop(star)
+    scratch.release()
     if not rest.isEmpty():
-        found = scratch.write(components(scratch, every, links.union(C.verified(rest, whole).where(C.similar(percent)).select("a", "b"))))
+        found = scratch.write(components(scratch, every, links.union(scratch.write(C.verified(rest, whole).where(C.similar(percent)).select("a", "b")))))
+    scratch.drop(whole, met)
+    scratch.release()
     found = found.where("id <> component")
     by = found.select(F.shiftright("id", PLACES).alias("id"), F.struct(F.col("id").bitwiseAND((1 << PLACES) - 1).alias("p"), "component").alias("x")).groupBy("id").agg(F.collect_list("x").alias("gone"))
 
