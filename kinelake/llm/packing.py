@@ -12,21 +12,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinelake.llm.common import Memory, ship
+from kinelake.llm.common import pieces, ship, words
 
 ship(__name__)
 
 #: Tokens of a window; documents and tokens of a shard; terms of a query; BM25's constants.
-WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, K1, B = 2048, 1024, 1 << 22, 24, 1.2, 0.75
-#: Distinct words that a worker remembers, and the longest (bytes) that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, K1, B = 2048, 1024, 1 << 22, 16, 1.2, 0.75
+#: Distinct words that a worker remembers (forgotten together when they become more), and slots of its hash table.
+REMEMBERED, SLOTS = 1 << 20, 1 << 22
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers.
+    """Ids of whole texts.
 
-    The tokenizer's tokens never hold blanks, so each run of other characters is encoded once and remembered. Words of letters alone are one pre-token each:
-    they are encoded as one text and told apart by the tokens that end a word; a full stop or comma after such a word is a pre-token of its own.
+    The tokenizer's tokens never hold blanks, so each run of other characters is encoded once and remembered: texts are cut and hashed as arrays (words()), and words
+    are looked up in an open hash table of 64-bit hashes, A-Z as a-z, as the tokenizer lowers them anyway. A full stop or comma after an ASCII letter or digit is a pre-token of its
+    own. New words of letters alone are one pre-token each: they are encoded as one text and told apart by the tokens that end a word. Texts that hold "<|", where special
+    tokens may begin, go to the tokenizer whole.
     """
 
     def __init__(self, spec: str):
@@ -45,8 +47,27 @@ class Encoder:
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
-        self.memory = Memory(REMEMBERED, LONGEST)
-        self.stop = {c: self.single([c])[0] for c in ".,"}
+        self.alnum = np.zeros(256, bool)
+        self.alnum[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory. Entries 0 and 1 are the full stop and the comma; entry k's ids are flat[edge[k]:edge[k + 1]]."""
+        self.keys, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        stops = [np.frombuffer(x, "<u4") for x in self.single([".", ","])]
+        self.flat, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.edge, self.n = np.zeros(REMEMBERED + (1 << 18), np.int64), 0
+        for x in stops:
+            self.append(x, np.array([len(x)]))
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        while self.n + len(sizes) + 1 > len(self.edge):
+            self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
+        self.edge[self.n + 1 : self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
 
     @staticmethod
     def plain(s: str) -> bool:
@@ -56,34 +77,101 @@ class Encoder:
     def single(self, words: list[str]) -> list[bytes]:
         return [np.array(g.ids, "<u4").tobytes() for g in self.tok.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
-    def joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone."""
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, and each word's number of them."""
         ids = np.array(self.fast.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, "<u4")
         edge = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
         if len(edge) != len(words):
-            return self.single(words)
-        blob, edge = ids.tobytes(), (edge * 4).tolist()
-        return [blob[a:b] for a, b in zip([0, *edge], edge)]
-
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        odd, ended, letters = [], [], {}
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if self.plain(s):
-                letters[w] = s
-            elif s[-1] in self.stop and self.plain(s[:-1]):
-                ended.append((w, w[:-1], s[-1]))
-                letters[w[:-1]] = s[:-1]
+            got = self.single(words)
+            return np.frombuffer(b"".join(got), "<u4"), np.array([len(g) // 4 for g in got])
+        return ids, np.diff(edge, prepend=0)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of words, -1 for new ones. Slots are probed one after another until the key or an empty one."""
+        out, left, slot = np.full(len(h), -1, np.int32), np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            k = self.keys[slot]
+            hit = k == h[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            more = ~hit & (k != 0)
+            left, slot = left[more], (slot[more] + 1) & (SLOTS - 1)
+        return out
+
+    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]], self.entry[slot[won]] = h[left[won]], entry[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & (SLOTS - 1)
+
+    def learn(self, h: np.ndarray, new: list[bytes]) -> None:
+        letters, odd = [], []
+        for i, w in enumerate(new):
+            if w.isalpha():
+                letters.append((i, w.decode()))
             else:
-                odd.append((w, s))
-        got = dict(zip(letters, self.joined(list(letters.values())))) if letters else {}
-        got.update(zip([w for w, _ in odd], self.single([s for _, s in odd])))
-        got.update([(w, got[base] + self.stop[c]) for w, base, c in ended])
-        return got
+                s = w.decode("utf-8", "replace")
+                (letters if self.plain(s) else odd).append((i, s))
+        first = self.n
+        if letters:
+            self.append(*self.joined([s for _, s in letters]))
+        if odd:
+            got = self.single([s for _, s in odd])
+            self.append(np.frombuffer(b"".join(got), "<u4"), np.array([len(g) // 4 for g in got]))
+        self.insert(h[[i for i, _ in [*letters, *odd]]], np.arange(first, self.n, dtype=np.int32))
+
+    def piece(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, one after another, and where each text's begin (one more at the end)."""
+        mark = None
+
+        def trim(start, end):
+            nonlocal mark
+            last = data[end - 1]
+            mark = ((last == 46) | (last == 44)) & (end - start > 1) & self.alnum[data[np.maximum(end - 2, 0)]]
+            return end - mark
+
+        h, start, end, first = words(data, off, trim)
+        if not len(h):
+            return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        h |= np.uint64(1)  # 0 stands for an empty slot
+        got = self.find(h)
+        lacking = np.flatnonzero(got < 0)
+        if len(lacking):
+            new, at = np.unique(h[lacking], return_index=True)
+            if self.n + len(new) > REMEMBERED:
+                self.forget()
+                lacking = np.arange(len(h))
+                new, at = np.unique(h, return_index=True)
+            at, raw = lacking[at], data.tobytes()
+            self.learn(new, [raw[a:z] for a, z in zip(start[at].tolist(), end[at].tolist())])
+            got[lacking] = self.find(h[lacking])
+        count = 1 + mark
+        place = np.cumsum(count) - count
+        entry = np.empty(int(count.sum()), np.int64)
+        entry[place] = got
+        entry[place[mark] + 1] = (data[end[mark]] == 44).astype(np.int64)
+        size = self.edge[entry + 1] - self.edge[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.edge[entry] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.append(place, len(entry))[first]]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        return [b"".join(got) for got in self.memory.look(split, self.learn)]
+        out: list[bytes] = [b""] * len(texts)
+        easy = [i for i, t in enumerate(texts) if b"<|" not in t]
+        for i in set(range(len(texts))).difference(easy):
+            out[i] = self.single([texts[i].decode("utf-8", "replace")])[0]
+        off = np.cumsum([0, *[len(texts[i]) for i in easy]])
+        data = np.frombuffer(b"".join([texts[i] for i in easy]), np.uint8)
+        for lo, hi in pieces(off):
+            ids, at = self.piece(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            blob, at = ids.tobytes(), (at * 4).tolist()
+            for k in range(hi - lo):
+                out[easy[lo + k]] = blob[at[k] : at[k + 1]]
+        return out
 
 
 class Shard:
@@ -91,25 +179,34 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray]):
         n = len(ids)
-        terms = [np.unique(i, return_counts=True) for i in ids]
+        narrow = np.uint16 if max(int(i.max()) for i in ids) < 1 << 16 else np.uint32  # NumPy sorts 16 bits by radix
+        terms = [self.counted(i.astype(narrow)) for i in ids]
         size = np.array([len(i) for i in ids], np.float64)
         term = np.concatenate([t for t, _ in terms])
         tf = np.concatenate([c for _, c in terms]).astype(np.float64)
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in terms])
         by = np.argsort(term, kind="stable")
-        word, first, df = np.unique(term[by], return_index=True, return_counts=True)
+        _, df = self.counted(term[by], False)
+        first = np.cumsum(df) - df
         tf, self.doc = tf[by], doc[by]
         tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(1.0, size.mean())))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = (tf * np.repeat(idf, df)).astype(np.float32)
+        self.weight = (tf * np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)).astype(np.float32)
         self.first, self.df, self.n = first, df, n
-        #: each document's most telling terms: those of the largest weight that others share
-        entry, self.terms = np.repeat(np.arange(len(word)), df), {}
+        # each document's most telling terms: those of the largest weight that others share; positive floats are ordered as their bits
+        entry = np.repeat(np.arange(len(df)), df)
         shared = np.flatnonzero(df[entry] > 1)
-        order = shared[np.lexsort((entry[shared], -self.weight[shared], self.doc[shared]))]
+        key = self.doc[shared].astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - self.weight[shared].view(np.uint32))
+        order = shared[np.argsort(key, kind="stable")]
         edge = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.terms = [entry[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(edge[:-1], edge[1:])]
 
+    @staticmethod
+    def counted(v: np.ndarray, unsorted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        if unsorted:
+            v = np.sort(v, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        return v[first], np.diff(np.append(first, len(v)))
+
     def neighbours(self, doc: int) -> np.ndarray:
         """Other documents with a positive score, best first, ties by number."""
         score = np.zeros(self.n, np.float32)
