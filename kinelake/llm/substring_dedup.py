@@ -69,11 +69,53 @@ def placed(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     return ids[text] << PLACES | place
 
 
+NAMES = (*C.ENTRY_NAMES, "equal")
+BAND = U64(3)  # the bits of a signature that tell its band
+
+
+def met(sig: np.ndarray, ids: np.ndarray, digest: np.ndarray) -> tuple:
+    """Of entries: (pivots, ids) of paragraphs equal to one with a smaller id, told by the first band alone, and the signatures, ids and digests without them, in order."""
+    order = np.lexsort((ids, digest, sig))
+    sig, ids, digest = sig[order], ids[order], digest[order]
+    lead = np.ones(len(sig), bool)
+    lead[1:] = (sig[1:] != sig[:-1]) | (digest[1:] != digest[:-1])
+    first = np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))
+    twin = ~lead & ((sig & sig.dtype.type(3)) == 0) & (ids != ids[first])
+    equal = ids[first][twin], ids[twin]
+    sig, ids, digest = sig[lead], ids[lead], digest[lead]
+    order = np.lexsort((ids, sig))
+    return equal, sig[order], ids[order], digest[order]
+
+
+class Bands(C.Signer):
+    """A signer whose ranks are digests: equal paragraphs of a flush are told apart at once, and only one of them goes on."""
+
+    def flush(self) -> list[pa.RecordBatch]:
+        if not self.n:
+            return []
+        equal, sig, ids, digest = met(*(np.concatenate(x) for x in zip(*self.held)))
+        self.held, self.n = [], 0
+        out = [C.batch(NAMES, equal=np.ones(len(equal[0]), np.int64), pivot=equal[0], id=equal[1])] if len(equal[0]) else []
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        many = np.repeat(size >= C.LOCAL, size)
+        lead = np.zeros(len(sig), bool)
+        lead[first] = True
+        if many.any():
+            out.append(C.batch(NAMES, sig=sig[many].astype(np.int64), pivot=np.repeat(ids[first], size)[many], id=ids[many]))
+        keep = lead | ~many
+        sig, ids, digest = sig[keep], ids[keep], digest[keep]
+        parts = list(C.split(sig, self.buckets))
+        key = (sig & C.LOW).astype("<u4")
+        out.append(C.batch(NAMES, bucket=[b for b, _, _ in parts], keys=[key[a:z].tobytes() for _, a, z in parts], ids=[ids[a:z].tobytes() for _, a, z in parts], ranks=[digest[a:z].tobytes() for _, a, z in parts]))
+        return out
+
+
 def banded(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of band signatures of every paragraph of LEAST words or more."""
+    """Blocks of band signatures of every paragraph of LEAST words or more, local stars, and rows (equal, pivot, id) of equal paragraphs."""
 
     def run(batches):
-        signer = C.Signer(buckets)
+        signer = Bands(buckets, NAMES)
         for b in batches:
             b = b.filter(b.column(0).is_valid())
             data, off = utf8(b.column(1))
@@ -86,13 +128,48 @@ def banded(docs: DataFrame, buckets: int) -> DataFrame:
                 s, count = shingles(h, at)
                 edge = np.cumsum(count) - count
                 own = np.diff(at) >= LEAST
-                rank = np.zeros(int(own.sum()), np.uint16)
+                digest = (np.add.reduceat(mix(s ^ SEEDS[-1] * U64(3)), edge)[own] >> U64(32)).astype("<u4")
                 for i, seed in enumerate(SEEDS):
                     low = np.minimum.reduceat(mix(s ^ seed), edge)
-                    yield from signer.add(mix(low[own] + U64(i)), number[own], rank)
+                    yield from signer.add((mix(low[own] + U64(i)) & ~BAND) | U64(i), number[own], digest)
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, C.ENTRIES)
+    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, equal long")
+
+
+def gathered(scratch: Scratch, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, pivot, id): stars of signatures over paragraphs of which no two are equal; and (pivot, id): every paragraph that equals one with a smaller id, the smallest."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()])
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()])
+        digest = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("ranks").to_pylist()])
+        # entries that stand alone, most of them, go before the sorting of three columns
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        alone = np.ones(len(k), bool)
+        alone[1:] &= k[1:] != k[:-1]
+        alone[:-1] &= k[1:] != k[:-1]
+        order = order[~alone]
+        equal, key, ids, _ = met(key[order], ids[order], digest[order])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        size = np.diff(np.append(first, len(key)))
+        own = np.repeat(size > 1, size)
+        sig = (np.int64(t.column("bucket")[0].as_py()) << np.int64(32)) | key.astype(np.int64)
+        return pa.table({
+            "sig": pa.array(np.concatenate([sig[own], np.zeros(len(equal[0]), np.int64)])), "pivot": np.concatenate([np.repeat(ids[first], size)[own], equal[0]]),
+            "id": np.concatenate([ids[own], equal[1]]), "equal": np.repeat(np.array([0, 1]), [int(own.sum()), len(equal[0])]),
+        })
+
+    out = scratch.write(entries.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "ranks").groupBy("bucket").applyInArrow(run, f"{C.STARS}, equal long"))
+    star, same = out.where("equal = 0").select("sig", "pivot", "id"), out.where("equal = 1").select("pivot", "id").distinct()
+    top = star.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("top"))
+    local = entries.where("sig IS NOT NULL").select("sig", "pivot", "id").join(top, ["sig", "pivot"], "left").where("top IS NULL OR pivot <> id")
+    star = star.union(local.select("sig", F.coalesce("top", "pivot"), "id"))
+    first = same.groupBy("id").agg(F.min("pivot").alias("pivot"))
+    up = first.select(F.col("id").alias("pivot"), F.col("pivot").alias("top"))
+    here = entries.where("equal = 1").select("pivot", "id").join(up, "pivot", "left").select(F.coalesce("top", "pivot").alias("pivot"), "id")
+    return scratch.write(star), scratch.write(here.union(first.select("pivot", "id")).where("pivot <> id").groupBy("id").agg(F.min("pivot").alias("pivot")))
 
 
 def sets_of(docs: DataFrame, wanted) -> DataFrame:
@@ -136,26 +213,30 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = C.buckets_of(spark)
     index = scratch.write(banded(docs, buckets))
-    star = scratch.write(C.stars(scratch, index))
+    star, equal = gathered(scratch, index)
     scratch.drop(index)
     scratch.release()
     pairs = scratch.write(star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    whole = scratch.write(sets_of(docs, C.filter_of(ends(pairs))).distinct())
-    met = scratch.write(C.verified(pairs, whole))
-    links = scratch.write(met.where(C.similar(percent)).select("a", "b"))
+    whole = scratch.write(sets_of(docs, C.filter_of(ends(pairs))).join(ends(pairs), "id", "left_semi").distinct())
+    met_ = scratch.write(C.verified(pairs, whole))
+    links = scratch.write(met_.where(C.similar(percent)).select("a", "b"))
+    scratch.release()
     node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), F.lit(0).alias("singles"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(C.SKETCH)])
     every = node.select("id")
+    copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
+    links = scratch.write(links.union(copies))
     found = scratch.write(components(scratch, every, links))
-    scratch.release()
-    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most"))
+    far = met_.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most"))
     rest = scratch.write(across(star, found, node, far, percent))
     scratch.drop(star)
     scratch.release()
     if not rest.isEmpty():
         found = scratch.write(components(scratch, every, links.union(scratch.write(C.verified(rest, whole).where(C.similar(percent)).select("a", "b")))))
-    scratch.drop(whole, met)
-    scratch.release()
+    scratch.drop(whole, met_)
     found = found.where("id <> component")
+    top = equal.join(found.select(F.col("id").alias("pivot"), "component"), "pivot", "left").select("id", F.coalesce("component", "pivot").alias("component"))
+    found = scratch.write(top.union(found.join(equal, "id", "left_anti")))
+    scratch.release()
     by = found.select(F.shiftright("id", PLACES).alias("id"), F.struct(F.col("id").bitwiseAND((1 << PLACES) - 1).alias("p"), "component").alias("x")).groupBy("id").agg(F.collect_list("x").alias("gone"))
 
     def run(batches):
