@@ -23,7 +23,7 @@ ship(__name__)
 #: A token in more texts than this is frequent.
 FREQUENT = 32
 SKETCHED = tuple(f"s{i}" for i in range(C.SKETCH))
-NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "d1", "d2", "bits", "singles", *SKETCHED)
+NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "d1", "d2", "bits", *SKETCHED)
 SINGLE, COMBINED, EVEN = U64(0x2545F4914F6CDD1D), U64(0xD6E8FEB86659FD93), U64(0xFFFFFFFFFFFFFFFE)
 
 
@@ -86,9 +86,9 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
     return C.sent(docs.sparkSession, rows, buckets)
 
 
-def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of rows with tokens h (n a row) of which `often` marks the frequent (single tokens even, combinations odd); the rows they come from; each row's share
-    of rare tokens, 0 to 65535; each row's number of rare single signatures."""
+    of rare tokens, 0 to 65535."""
     row = np.repeat(np.arange(len(n)), n)
     rare_n = np.bincount(row[~often], minlength=len(n))
     need = 2 * (100 - percent) * n // 100 + 1
@@ -106,7 +106,6 @@ def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) ->
     a, r = first_of(~often, rare_take)
     out.append(mix(a ^ SINGLE) & EVEN)
     rows.append(r)
-    singles = np.bincount(r, minlength=len(n))
     if often.any():
         a, r = first_of(often, often_take)
         same = r[1:] == r[:-1]
@@ -115,7 +114,7 @@ def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) ->
         one = np.flatnonzero((n == 1) & (rare_n == 0))
         out.append(mix(h[np.searchsorted(row, one)] ^ SINGLE) & EVEN)
         rows.append(one)
-    return np.concatenate(out), np.concatenate(rows), (65535 * rare_n // np.maximum(1, n)).astype(np.uint16), singles
+    return np.concatenate(out), np.concatenate(rows), (65535 * rare_n // np.maximum(1, n)).astype(np.uint16)
 
 
 def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataFrame:
@@ -133,15 +132,15 @@ def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataF
                 if full.any():
                     d1[full] = np.add.reduceat(m, at[full])
                     d2[full] = np.add.reduceat(mix(m ^ COMBINED), at[full])
-                sig, row, rank, singles = signatures(h, n, known.test(h), percent)
-                yield C.batch(NAMES, id=own, n=n, d1=d1.view(np.int64), d2=d2.view(np.int64), bits=C.bitmaps(h, n), singles=singles, **C.sketches(h, n))
+                sig, row, rank = signatures(h, n, known.test(h), percent)
+                yield C.batch(NAMES, id=own, n=n, d1=d1.view(np.int64), d2=d2.view(np.int64), bits=C.bitmaps(h, n), **C.sketches(h, n))
                 given = np.asarray(own.is_valid())
                 ok = given[row]
                 key = np.asarray(own.fill_null(0), np.int64)
                 yield from signer.add(sig[ok], key[row[ok]], rank[row[ok]])
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, d1 long, d2 long, bits binary, singles long, {', '.join(f'{c} long' for c in SKETCHED)}")
+    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, d1 long, d2 long, bits binary, {', '.join(f'{c} long' for c in SKETCHED)}")
 
 
 def sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
@@ -167,19 +166,18 @@ def ends(pairs: DataFrame) -> DataFrame:
 def across(star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that stars leave open: members of one signature in different components, one of each set of equal texts.
 
-    node: (id, n, d1, d2, singles: rare tokens indexed alone, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
+    node: (id, n, d1, d2, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
     been verified. Signatures whose members are all in one component, most of them, need nothing more; in others, members outside the pivot's component meet all
     members of other components, unless a bound rules the link out. Such bounds keep the hot groups small: what x and y share lies in the pivot, or it is a token
-    of x that neither the pivot holds nor is x's alone; so they share at most what y and the pivot do and the number of such tokens of x. A rare token indexed alone that met
-    no other text is its text's alone. Sketches bound it too.
+    of x that the pivot doesn't hold; so they share at most what y and the pivot do and the number of such tokens of x. That a token of x's prefix met no other prefix says
+    nothing: others may hold it beyond theirs. Sketches bound it too.
     """
     member = star.join(found, "id")
     open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")).where("lo <> hi").select("sig", "main")
-    met = star.where("sig % 2 = 0").groupBy("id").agg(F.count("*").alias("met"))
-    size = node.select("id", "n", "d1", "d2", "singles", *SKETCHED).join(met, "id", "left").select("id", "n", "d1", "d2", *SKETCHED, F.greatest(F.lit(0), F.col("singles") - F.coalesce("met", F.lit(0))).alias("alone"))
+    size = node.select("id", "n", "d1", "d2", *SKETCHED)
     far = far.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
     own = member.where("pivot <> id").join(open_, "sig").join(size, "id").join(far, ["pivot", "id"], "left")
-    own = own.withColumn("most", F.coalesce("most", "n")).withColumn("other", F.greatest(F.lit(0), F.col("n") - F.coalesce("least", F.lit(0)) - F.col("alone")))
+    own = own.withColumn("most", F.coalesce("most", "n")).withColumn("other", F.col("n") - F.coalesce("least", F.lit(0)))
     kept = ("n", "id", "component", "most", "other", *SKETCHED)
     own = own.groupBy("sig", "main", "n", "d1", "d2").agg(F.min(F.struct(*kept[1:])).alias("m")).select("sig", "main", "n", "m.*")
     x = own.where("component <> main").select("sig", *[F.col(c).alias(f"{c}1") for c in kept])
@@ -205,7 +203,7 @@ def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_
     often = frequent_filter(docs, buckets, k)
     scratch.release()
     index = scratch.write(indexed(docs, often, buckets, k, percent))
-    info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "d1", "d2", "bits", "singles", *SKETCHED))
+    info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "d1", "d2", "bits", *SKETCHED))
     star = scratch.write(C.stars(scratch, index))
     scratch.drop(index)
     scratch.release()

@@ -221,7 +221,7 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
     met_ = scratch.write(C.verified(pairs, whole))
     links = scratch.write(met_.where(C.similar(percent)).select("a", "b"))
     scratch.release()
-    node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), F.lit(0).alias("singles"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(C.SKETCH)])
+    node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(C.SKETCH)])
     every = node.select("id")
     copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
     links = scratch.write(links.union(copies))

@@ -76,3 +76,13 @@ def test_components_of_chains_and_stars(spark):
     nodes = spark.range(0, 400)
     got = {r.id: r.component for r in components(Scratch(spark), nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 150)) and got[301] == 300 and got[399] == 399 and len(got) == 400
+
+
+def test_growing_versions_near_the_threshold(spark):
+    r = np.random.RandomState(11)
+    rows = []
+    for g in range(60):  # versions of 99, 100 and 125 shingles, each within the next: the first two link, and the last two at exactly 0.80
+        w = [f"g{g}x{k}" for k in r.permutation(129)]
+        rows += [(3 * g + v, " ".join(w[:n])) for v, n in enumerate((103, 104, 129))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(Scratch(spark), spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
