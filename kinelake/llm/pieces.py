@@ -60,11 +60,11 @@ class Normalizer:
         n = proto.normalizer_spec
         self.map, self.dummy, self.squeeze, self.escape = Charsmap(n.precompiled_charsmap), n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.plain = not self.map.first and not self.squeeze and not self.suffix and self.dummy and self.escape
+        self.starts = np.zeros(256, bool)
+        self.starts[list(self.map.first)] = True
 
-    def __call__(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its UTF-8 bytes (and its end) the source byte it stands for."""
-        data = text.encode("utf-8", "replace")
+    def mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The text with the longest prefix replaced at every place, and the source byte of each byte."""
         out, at, i = [], [], 0
         while i < len(data):
             hit = self.map.longest(data, i) if data[i] in self.map.first else None
@@ -76,21 +76,32 @@ class Normalizer:
             out += new
             at += [i] * len(new) if hit else range(i, i + n)
             i += n
+        return np.array(out, np.uint8), np.array(at, np.int64)
+
+    def __call__(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its UTF-8 bytes (and its end) the source byte it stands for."""
+        data = text.encode("utf-8", "replace")
+        out = np.frombuffer(data, np.uint8)
+        if self.map.first and self.starts[out].any():
+            out, at = self.mapped(data)
+        else:  # no prefix of the map begins anywhere
+            at = np.arange(len(out))
         if self.squeeze:
-            keep = [k for k, c in enumerate(out) if c != 32 or (k and out[k - 1] != 32)]
-            while keep and out[keep[-1]] == 32:
-                keep.pop()
-            out, at = [out[k] for k in keep], [at[k] for k in keep]
-        if self.dummy and out:
+            keep = out != 32
+            keep[1:] |= out[:-1] != 32
+            out, at = out[keep], at[keep]
+            if len(out) and out[-1] == 32:
+                out, at = out[:-1], at[:-1]
+        if self.dummy and len(out):
             if self.suffix:
-                out, at = [*out, 32], [*at, len(data)]
+                out, at = np.append(out, np.uint8(32)), np.append(at, len(data))
             else:
-                out, at = [32, *out], [at[0], *at]
+                out, at = np.insert(out, 0, 32), np.insert(at, 0, at[0])
+        text = out.tobytes()
         if self.escape:
-            mark = BLANK.encode()
-            at = [a for c, a in zip(out, at) for _ in range(3 if c == 32 else 1)]
-            out = bytes(out).replace(b" ", mark)
-        return bytes(out).decode(), np.array([*at, len(data)], np.int64)
+            at = np.repeat(at, np.where(out == 32, 3, 1))
+            text = text.replace(b" ", BLANK.encode())
+        return text.decode(), np.append(at, len(data))
 
 
 #: A word with the blank marks before it, or marks at the end.
@@ -108,59 +119,50 @@ class Codec:
         proto.ParseFromString(model)
         self.normalise = Normalizer(proto)
         pieces = [p.piece for p in proto.pieces if p.type in (1, 4)]
-        self.by_word = proto.trainer_spec.model_type == 2 and not any(BLANK in p.lstrip(BLANK) for p in pieces) and not any(p.type == 4 for p in proto.pieces)
+        self.by_word = proto.trainer_spec.model_type == 2 and BLANK in pieces and not any(BLANK in p.lstrip(BLANK) for p in pieces) and not any(p.type == 4 for p in proto.pieces)
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = proto.normalizer_spec
         n.precompiled_charsmap, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = b"", False, False, False
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.memory = Memory(REMEMBERED, LONGEST)
-        self.lead = self.sp.encode(BLANK + "a")
-        self.lead_text = self.whole.decode(self.lead)
-
-    def units(self, text: str) -> list[str]:
-        """The normalised text in parts that no piece crosses."""
-        if self.by_word and self.normalise.plain:
-            if not text:
-                return []
-            if "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-                return text.split(" ")
-            norm = BLANK + text.replace(" ", BLANK)
-        else:
-            norm = self.normalise(text)[0]
-        return UNIT.findall(norm) if self.by_word else [norm] if norm else []
-
-    def learn(self, units: list[str]) -> dict[str, tuple[str, int, str]]:
-        """For each unit, its ids' decimals joined by commas, their number, and what they decode to after another word."""
-        ids = self.sp.encode([u if u[0] == BLANK or not self.normalise.plain else BLANK + u for u in units], num_threads=1)
-        texts = self.whole.decode([self.lead + i for i in ids], num_threads=1)
-        n = len(self.lead_text)
-        return {u: (",".join(map(str, i)), len(i), t[n:]) for u, i, t in zip(units, ids, texts)}
+        self.pieces = [p.piece for p in proto.pieces]
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.byte = np.array([p.type == 6 for p in proto.pieces])
+        self.size = np.where(self.byte, 1, [len(p.encode()) for p in self.pieces]).astype("<i4")
+
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """For each unit, its ids and how many normalised bytes each stands for, as 32-bit integers."""
+        known = {}
+        for u, i in zip(units, self.sp.encode(units, num_threads=1)):
+            i = np.array(i, "<i4")
+            n = self.size[i]
+            if (i == self.sp.unk_id()).any():
+                n = np.where(self.byte[i], 1, [len(p.surface.encode()) for p in self.sp.encode(u, return_type="proto").pieces]).astype("<i4")
+            known[u] = i.tobytes(), n.tobytes()
+        return known
+
+    def encoded(self, texts: list[str | None]):
+        """Of each text: ids, pieces, and where the span of source bytes of each starts and ends. Every text is normalised whole, then cut in units that no piece crosses."""
+        norms = [self.normalise(t or "") for t in texts]
+        split = [UNIT.findall(n) if self.by_word else [n] if n else [] for n, _ in norms]
+        for (_, at), got in zip(norms, self.memory.look(split, self.learn)):
+            ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4").tolist()
+            edge = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), "<i4"), out=edge[1:])
+            if edge[-1] != len(at) - 1:
+                raise ValueError("the pieces do not cover the normalised text")
+            place = at[edge]
+            yield ids, [self.pieces[i] for i in ids], place[:-1], place[1:]
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Of each text: number of ids, their decimals joined by commas, and the decoded text."""
-        if not self.by_word:
-            ids = [self.sp.encode(self.normalise(t or "")[0]) for t in texts]
-            return [(len(i), ",".join(map(str, i)), self.whole.decode(i)) for i in ids]
-        split = [self.units(t or "") for t in texts]
-        rows = []
-        for got in self.memory.look(split, self.learn):
-            out = "".join([g[2] for g in got])
-            rows.append((sum([g[1] for g in got]), ",".join([g[0] for g in got]), out[1:] if self.normalise.dummy and out[:1] == " " else out))
-        return rows
+        rows = [ids for ids, _, _, _ in self.encoded(texts)]
+        return [(len(i), ",".join([self.decimals[k] for k in i]), out) for i, out in zip(rows, self.whole.decode(rows, num_threads=1) if rows else [])]
 
     def encode(self, text: str | None) -> tuple[list[int], list[str], list[tuple[int, int]]]:
         """Ids, pieces, and each piece's span of source bytes."""
-        norm, at = self.normalise(text or "")
-        ids = self.sp.encode(norm)
-        pieces = [self.sp.id_to_piece(i) for i in ids]
-        unknown = self.sp.unk_id()
-        spans, i = [], 0
-        surfaces = [p.surface for p in self.sp.encode(norm, return_type="proto").pieces] if unknown in ids else None
-        for k, (t, p) in enumerate(zip(ids, pieces)):
-            n = 1 if self.sp.is_byte(t) else len((surfaces[k] if surfaces else p).encode())
-            spans.append((int(at[i]), int(at[i + n]) if i + n < len(at) else int(at[-1])))
-            i += n
-        return ids, pieces, spans
+        ids, pieces, start, end = next(self.encoded([text]))
+        return ids, pieces, list(zip(start.tolist(), end.tolist()))
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids)
@@ -192,10 +194,10 @@ def encode(docs: DataFrame, model: bytes, digests: bool = False, id_col: str = "
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    got = [codec.encode(t) for t in texts]
+                    got = list(codec.encoded(texts))
                     ints = pa.list_(pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([g[0] for g in got], ints), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([[s for s, _ in g[2]] for g in got], ints), pa.array([[e for _, e in g[2]] for g in got], ints), pa.array([codec.decode(g[0]) for g in got], pa.string())],
+                        [part.column(0), pa.array([g[0] for g in got], ints), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2].tolist() for g in got], ints), pa.array([g[3].tolist() for g in got], ints), pa.array([codec.decode(g[0]) for g in got], pa.string())],
                         [id_col, "ids", "pieces", "starts", "ends", "decoded"],
                     )
 

@@ -38,6 +38,16 @@ def test_spans_cover_the_source(codec):
         assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(data))
 
 
+def test_digests_come_from_the_alignment_path(codec, monkeypatch):
+    ts, seen, whole = texts()[:200], [], codec.normalise
+    monkeypatch.setattr(codec, "normalise", lambda t: seen.append(t) or whole(t))
+    want = codec.digests(ts)
+    assert seen == ts and [",".join(map(str, ids)) for ids, _, _, _ in codec.encoded(ts)] == [ids for _, ids, _ in want]
+    monkeypatch.setattr(codec, "normalise", lambda t: (whole(t)[0], whole(t)[1][1:]))
+    with pytest.raises(ValueError):
+        codec.digests(["a wrong alignment"])
+
+
 def double_array(entries):
     """A compiled map of byte prefixes to replacements, built by placing each trie node at the first free base."""
     out = b"\0".join(v for _, v in entries) + b"\0"
