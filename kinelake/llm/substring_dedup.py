@@ -4,6 +4,9 @@ A paragraph is a stretch of a line cut where its words say so: after a word whos
 the last cut. Cuts move with the text, so a passage that is copied into other lines is cut alike wherever it lies. Paragraphs that share a MinHash band are
 candidates; their shingle sets are compared exactly; connected paragraphs form a cluster, whose first one (smallest document, then place) stays.
 Of the others, runs of RUN words or more are removed: a short sentence that texts share by custom is left alone.
+
+Passages are also found without regard to paragraphs and lines. Of each WINDOW stretches of GRAM words that follow each other, the one with the smallest hash is an anchor, so every
+passage of GRAM + WINDOW - 1 words (51) has an anchor that depends on nothing outside it. A copy is matched with its anchor's first place, word by word in both directions.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ ship(__name__)
 #: two paragraphs of similarity 0.8 share one of BANDS minima with probability 1 - 0.2**BANDS, which is 0.992 for 3.
 LEAST, MOST, CUT, RUN, BANDS = 6, 48, 8, 20, 3
 SEEDS = mix(np.arange(101, 101 + BANDS, dtype=U64))
+STEPS = mix(np.arange(201, 221, dtype=U64)) | U64(1)
 #: Paragraphs are numbered id * 2**PLACES + place; ids must fit in the other bits of a long.
 PLACES = 22
+#: Words of an anchor, and stretches of which one is an anchor: also the words that a match is extended by on either side, where the next anchor's match takes over.
+GRAM, WINDOW = 20, 32
+NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def paragraphs(data: np.ndarray, off: np.ndarray):
@@ -69,6 +76,108 @@ def placed(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     return ids[text] << PLACES | place
 
 
+def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of GRAM words from each word on, NONE where its text ends before; and each text's number of them."""
+    n = np.maximum(np.diff(first) - GRAM + 1, 0)
+    g = np.full(len(h), NONE, U64)
+    m = len(h) - GRAM + 1
+    if m > 0:
+        x = np.zeros(m, U64)
+        for j in range(GRAM):
+            x += h[j : j + m] * STEPS[j]
+        g[:m] = mix(x)
+    ok = np.zeros(len(h) + 1, np.int64)
+    np.add.at(ok, first[:-1], n > 0)
+    np.add.at(ok, first[:-1] + n, -(n > 0).astype(np.int64))
+    g[np.cumsum(ok[:-1]) == 0] = NONE
+    return g, n
+
+
+def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words at which anchors begin, and the anchors' hashes. A text of fewer stretches than WINDOW has the smallest of them."""
+    g, n = grams(h, first)
+    least = np.zeros(len(g), U64)  # of the window that begins here
+    if len(g) >= WINDOW:
+        x, w = g, 1
+        while w < WINDOW:
+            x = np.minimum(x[:-w], x[w:])
+            w *= 2
+        least[: len(x)] = x
+    text = np.repeat(np.arange(len(n)), np.diff(first))
+    at = np.arange(len(g)) - first[text]
+    least[at + WINDOW > n[text]] = 0
+    x, w = least, 1
+    while w < WINDOW:  # the largest of the windows that hold this stretch
+        x, w = np.maximum(x, np.concatenate([np.zeros(w, U64), x[:-w]])), w * 2
+    own = (g == x[: len(g)]) & (at < n[text])
+    for i in np.flatnonzero((n > 0) & (n < WINDOW)):
+        a = first[i]
+        own[a : a + n[i]] = g[a : a + n[i]] == g[a : a + n[i]].min()
+    at = np.flatnonzero(own)
+    return at, g[at]
+
+
+def copied(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(id, near): of each text that holds anchors of an earlier place, for each anchor (sig, at: its places, keep: the first place's id, left, right: low halves of the hashes of the words around that)."""
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            data, off = utf8(b.column(1))
+            ids = np.asarray(b.column(0), np.int64)
+            for lo, hi in pieces(off):
+                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                if not len(h):
+                    continue
+                at, sig = anchors(h, first)
+                text = np.searchsorted(first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(at - first[text])], ["sig", "id", "at"])
+
+    def around(batches):
+        for b in batches:
+            data, off = utf8(b.column(0))
+            for lo, hi in pieces(off):
+                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                g, _ = grams(h, first)
+                low, out = (h & C.LOW).astype("<u4"), []
+                for i in range(hi - lo):
+                    a, z = int(first[i]), int(first[i + 1])
+                    for x in b.column(1)[lo + i].as_py():
+                        k = a + x["at"]
+                        if k < z and int(g[k : k + 1].view(np.int64)[0]) == x["sig"]:
+                            out.append((x["sig"], low[max(a, k - WINDOW) : k].tobytes(), low[k + GRAM : min(z, k + GRAM + WINDOW)].tobytes()))
+                cols = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["sig", "left", "right"])
+
+    all_ = scratch.write(docs.select("id", "text").mapInArrow(run, "sig long, id long, at long"))
+    first = all_.groupBy("sig").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("f.id").alias("keep"), F.col("f.at").alias("from"))
+    first = scratch.write(first)
+    wanted = first.groupBy(F.col("keep").alias("id")).agg(F.collect_list(F.struct("sig", F.col("from").alias("at"))).alias("x"))
+    context = scratch.write(docs.join(wanted, "id").select("text", "x").mapInArrow(around, "sig long, left binary, right binary").dropDuplicates(["sig"]))
+    member = all_.join(first, "sig").where("id <> keep OR at <> from").groupBy("id", "sig", "keep").agg(F.collect_set("at").alias("at"))
+    out = scratch.write(member.join(context, "sig").groupBy("id").agg(F.collect_list(F.struct("sig", "at", "keep", "left", "right")).alias("near")))
+    scratch.drop(all_, first, context)
+    return out
+
+
+def matched(h: np.ndarray, g: np.ndarray, near: list) -> list[tuple[int, int, list[int]]]:
+    """(first word, end, documents kept) of the copies in a text of words h: anchors that really lie there, extended while the words are equal."""
+    low, out = (h & C.LOW).astype("<u4"), []
+    for x in near:
+        left, right = np.frombuffer(x["left"], "<u4"), np.frombuffer(x["right"], "<u4")
+        for k in x["at"]:
+            if k + GRAM > len(h) or int(g[k : k + 1].view(np.int64)[0]) != x["sig"]:
+                continue
+            n = min(k, len(left))
+            off = np.flatnonzero(low[k - n : k][::-1] != left[::-1][:n])
+            a = k - (int(off[0]) if len(off) else n)
+            z = k + GRAM
+            n = min(len(h) - z, len(right))
+            off = np.flatnonzero(low[z : z + n] != right[:n])
+            out.append((a, z + (int(off[0]) if len(off) else n), [x["keep"]]))
+    return out
+
+
 NAMES = (*C.ENTRY_NAMES, "equal")
 BAND = U64(3)  # the bits of a signature that tell its band
 
@@ -205,8 +314,8 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
     """(id column, start_char, end_char, n_words, keep_doc_id, keep_doc_ids): every stretch to remove, in code points, and the documents that keep its paragraphs.
 
     Paragraphs link when they share a band and the Jaccard similarity of their sets of distinct five-word shingles (all words where fewer) is percent/100 or
-    more; clusters are connected components; their smallest (id, place) stays. Removed paragraphs that follow each other form a stretch, given if it has
-    run_words words or more; keep_doc_id is that of its first paragraph. Null and empty texts have no paragraphs; rows with a null id take no part; rows that share an id
+    more; clusters are connected components; their smallest (id, place) stays. Copies of anchors are removed with the words around that equal those of the anchor's first
+    place. What is removed and overlaps or follows each other forms a stretch, given if it has run_words words or more; keep_doc_id is that of its first part. Null and empty texts have no paragraphs; rows with a null id take no part; rows that share an id
     are one text's paragraphs more than once, each place once; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -238,6 +347,7 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
     found = scratch.write(top.union(found.join(equal, "id", "left_anti")))
     scratch.release()
     by = found.select(F.shiftright("id", PLACES).alias("id"), F.struct(F.col("id").bitwiseAND((1 << PLACES) - 1).alias("p"), "component").alias("x")).groupBy("id").agg(F.collect_list("x").alias("gone"))
+    by = by.join(copied(scratch, docs), "id", "full")
 
     def run(batches):
         for b in batches:
@@ -245,29 +355,31 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
             out = []
             for lo, hi in pieces(off):
                 piece, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                _, start, end, at, text = paragraphs(piece, o)
+                h, start, end, at, text = paragraphs(piece, o)
+                first = np.searchsorted(start, o)
+                g, _ = grams(h, first)
                 chars = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
                 for i in range(hi - lo):
-                    base = int(np.searchsorted(text, i))
-                    gone = sorted({(x["p"], x["component"]) for x in b.column(2)[lo + i].as_py()})
+                    base, w = int(np.searchsorted(text, i)), int(first[i])
+                    parts = [(a + w, z + w, keep) for a, z, keep in matched(h[w : first[i + 1]], g[w : first[i + 1]], b.column(3)[lo + i].as_py() or ())]
+                    for p, c in {(x["p"], x["component"]) for x in b.column(2)[lo + i].as_py() or ()}:
+                        if base + p < len(text) and text[base + p] == i:
+                            parts.append((int(at[base + p]), int(at[base + p + 1]), [c >> PLACES]))
                     runs: list[list] = []
-                    for p, c in gone:
-                        if base + p >= len(text) or text[base + p] != i:
-                            continue
-                        if runs and runs[-1][1] == p - 1:
-                            runs[-1][1] = p
-                            runs[-1][2].append(c >> PLACES)
+                    for a, z, keep in sorted(parts):
+                        if runs and runs[-1][1] >= a:
+                            runs[-1][1] = max(runs[-1][1], z)
+                            runs[-1][2] += keep
                         else:
-                            runs.append([p, p, [c >> PLACES]])
-                    for p, q, keep in runs:
-                        a, z = at[base + p], at[base + q + 1]
+                            runs.append([a, z, list(keep)])
+                    for a, z, keep in runs:
                         if z - a >= run_words:
                             out.append((b.column(0)[lo + i].as_py(), int(chars[start[a]] - chars[o[i]]), int(chars[end[z - 1]] - chars[o[i]]), int(z - a), keep[0], sorted(set(keep))))
             cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "start_char", "end_char", "n_words", "keep_doc_id", "keep_doc_ids"])
 
-    return docs.join(by, "id").select("id", "text", "gone").mapInArrow(run, f"id long, {SPANS}").withColumnRenamed("id", id_col)
+    return docs.join(by, "id").select("id", "text", "gone", "near").mapInArrow(run, f"id long, {SPANS}").withColumnRenamed("id", id_col)
 
 
 def removed(docs: DataFrame, stretches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,6 +121,25 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert substring_dedup.spans(Scratch(spark), df.limit(0)).collect() == []
 
 
+def test_short_passages_and_short_lines_are_removed_whole(spark):
+    from conftest import text
+
+    r, rows, want = random.Random(14), [], {}
+    for k in range(120):  # a passage of 51 to 60 words within two lines; every third is laid out in lines of five words in its copy
+        passage = text(r, 51 + k % 10, 50000)
+        own = passage.split(" ")
+        other = "\n".join(" ".join(own[i : i + 5]) for i in range(0, len(own), 5)) if k % 3 == 0 else passage
+        rows += [(2 * k, f"{text(r, 30, 50000)} {passage} {text(r, 30, 50000)}"), (2 * k + 1, f"{text(r, 25, 50000)} {other} {text(r, 35, 50000)}")]
+        want[2 * k + 1] = other
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.spans(Scratch(spark), df).collect()
+    texts = dict(rows)
+    assert sorted(x.doc_id for x in got) == sorted(want)
+    for x in got:  # a paragraph at the passage's end may be a near copy that holds some other words too
+        assert want[x.doc_id] in texts[x.doc_id][x.start_char : x.end_char] and x.n_words <= len(want[x.doc_id].split()) + 10
+    assert all(x.keep_doc_ids == [x.doc_id - 1] for x in got)
+
+
 def test_language_accuracy_on_held_out_texts(spark):
     out = langid.identify(table(spark, "/root/testdata/sf0.01", "documents")).where(langid.held_out()).select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
