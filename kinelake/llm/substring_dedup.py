@@ -1,7 +1,7 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 A paragraph is a stretch of a line cut where its words say so: after a word whose hash leaves no remainder by CUT, no sooner than LEAST words and no later than MOST after
-the last cut. Cuts move with the text, so a passage that is copied into other lines is cut alike wherever it lies. Paragraphs that share a MinHash band are
+the last cut. Lines as they stand are compared too, with lines alone, so that a long line with a few changed words is met. Cuts move with the text, so a passage that is copied into other lines is cut alike wherever it lies. Paragraphs that share a MinHash band are
 candidates; their shingle sets are compared exactly; connected paragraphs form a cluster, whose first one (smallest document, then place) stays.
 Of the others, runs of RUN words or more are removed: a short sentence that texts share by custom is left alone.
 
@@ -31,14 +31,14 @@ STEPS = mix(np.arange(201, 221, dtype=U64)) | U64(1)
 PLACES = 22
 #: Words of an anchor, and stretches of which one is an anchor: also the words that a match is extended by on either side, where the next anchor's match takes over.
 GRAM, WINDOW = 20, 32
+#: Lines are numbered in the upper half of the places, and their shingles are told from paragraphs'.
+LINES, LINE = 1 << 21, U64(0xA0761D6478BD642F)
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def paragraphs(data: np.ndarray, off: np.ndarray):
-    """(word hashes, word starts, word ends, first word of each paragraph and one more, text of each paragraph) of some texts."""
-    h, start, end, first = words(data, off)
-    n = len(h)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+def breaks(data: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First words of lines, and the number of words."""
+    n = len(start)
     hard = np.zeros(n + 1, bool)  # a paragraph starts at this word
     hard[first[:-1][np.diff(first) > 0]] = True
     hard[n] = True
@@ -46,8 +46,16 @@ def paragraphs(data: np.ndarray, off: np.ndarray):
         feeds = np.flatnonzero(data == 10)
         lines = np.searchsorted(feeds, start)
         hard[1:n] |= lines[1:] != lines[:-1]
+    return np.flatnonzero(hard)
+
+
+def paragraphs(data: np.ndarray, off: np.ndarray):
+    """(word hashes, word starts, word ends, first word of each paragraph and one more, text of each paragraph) of some texts."""
+    h, start, end, first = words(data, off)
+    n = len(h)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     soft = np.flatnonzero((h >> U64(17)) % U64(CUT) == 0) + 1
-    edges, at = np.flatnonzero(hard), []
+    edges, at = breaks(data, start, first), []
     lo_s = np.searchsorted(soft, edges)
     for i in range(len(edges) - 1):
         a, z = int(edges[i]), int(edges[i + 1])
@@ -71,11 +79,24 @@ def paragraphs(data: np.ndarray, off: np.ndarray):
 def placed(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Numbers of paragraphs: their text's id and their place in it."""
     place = np.arange(len(text)) - np.searchsorted(text, text)
-    if len(text) and (place.max() >= 1 << PLACES or np.abs(ids).max() >= 1 << (62 - PLACES)):
+    if len(text) and (place.max() >= LINES or np.abs(ids).max() >= 1 << (62 - PLACES)):
         raise ValueError("an id or a text is too long for the numbering of paragraphs")
     return ids[text] << PLACES | place
 
 
+def units(data: np.ndarray, off: np.ndarray, ids: np.ndarray):
+    """(number, words, shingles, number of shingles) of all paragraphs of some texts, then of all lines."""
+    h, start, _, at, text = paragraphs(data, off)
+    if not len(text):
+        return
+    s, count = shingles(h, at)
+    yield placed(ids, text), np.diff(at), s, count
+    at = breaks(data, start, np.searchsorted(start, off))
+    s, count = shingles(h, at)
+    text = np.searchsorted(off, start[at[:-1]], "right") - 1
+    yield placed(ids, text) | LINES, np.diff(at), mix(s ^ LINE), count
+
+
 def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of GRAM words from each word on, NONE where its text ends before; and each text's number of them."""
     n = np.maximum(np.diff(first) - GRAM + 1, 0)
@@ -221,7 +242,7 @@ class Bands(C.Signer):
 
 
 def banded(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of band signatures of every paragraph of LEAST words or more, local stars, and rows (equal, pivot, id) of equal paragraphs."""
+    """Blocks of band signatures of every paragraph and line of LEAST words or more, local stars, and rows (equal, pivot, id) of equal paragraphs."""
 
     def run(batches):
         signer = Bands(buckets, NAMES)
@@ -230,17 +251,13 @@ def banded(docs: DataFrame, buckets: int) -> DataFrame:
             data, off = utf8(b.column(1))
             ids = np.asarray(b.column(0), np.int64)
             for lo, hi in pieces(off):
-                h, _, _, at, text = paragraphs(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                if not len(text):
-                    continue
-                number = placed(ids[lo:hi], text)
-                s, count = shingles(h, at)
-                edge = np.cumsum(count) - count
-                own = np.diff(at) >= LEAST
-                digest = (np.add.reduceat(mix(s ^ SEEDS[-1] * U64(3)), edge)[own] >> U64(32)).astype("<u4")
-                for i, seed in enumerate(SEEDS):
-                    low = np.minimum.reduceat(mix(s ^ seed), edge)
-                    yield from signer.add((mix(low[own] + U64(i)) & ~BAND) | U64(i), number[own], digest)
+                for number, size, s, count in units(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ids[lo:hi]):
+                    edge = np.cumsum(count) - count
+                    own = size >= LEAST
+                    digest = (np.add.reduceat(mix(s ^ SEEDS[-1] * U64(3)), edge)[own] >> U64(32)).astype("<u4")
+                    for i, seed in enumerate(SEEDS):
+                        low = np.minimum.reduceat(mix(s ^ seed), edge)
+                        yield from signer.add((mix(low[own] + U64(i)) & ~BAND) | U64(i), number[own], digest)
         yield from signer.flush()
 
     return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, equal long")
@@ -282,7 +299,7 @@ def gathered(scratch: Scratch, entries: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def sets_of(docs: DataFrame, wanted) -> DataFrame:
-    """(id, hashes) of the paragraphs that pass a filter (broadcast): their ordered distinct shingles."""
+    """(id, hashes) of the paragraphs and lines that pass a filter (broadcast): their ordered distinct shingles."""
     def run(batches):
         known = C.Filter(*wanted.value)
         for b in batches:
@@ -290,19 +307,15 @@ def sets_of(docs: DataFrame, wanted) -> DataFrame:
             data, off = utf8(b.column(1))
             ids = np.asarray(b.column(0), np.int64)
             for lo, hi in pieces(off):
-                h, _, _, at, text = paragraphs(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                if not len(text):
-                    continue
-                number = placed(ids[lo:hi], text)
-                own = np.flatnonzero((np.diff(at) >= LEAST) & known.test(C.id_hash(number)))
-                if not len(own):
-                    continue
-                s, count = shingles(h, at)
-                edge = np.cumsum(count) - count
-                idx = np.concatenate([np.arange(edge[i], edge[i] + count[i]) for i in own])
-                s, count = sets(s[idx], count[own])
-                cut = np.concatenate([[0], np.cumsum(count)])
-                yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array([s[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "hashes"])
+                for number, size, s, count in units(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ids[lo:hi]):
+                    own = np.flatnonzero((size >= LEAST) & known.test(C.id_hash(number)))
+                    if not len(own):
+                        continue
+                    edge = np.cumsum(count) - count
+                    idx = np.concatenate([np.arange(edge[i], edge[i] + count[i]) for i in own])
+                    s, count = sets(s[idx], count[own])
+                    cut = np.concatenate([[0], np.cumsum(count)])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array([s[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "hashes"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
@@ -313,7 +326,7 @@ SPANS = "start_char long, end_char long, n_words long, keep_doc_id long, keep_do
 def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, start_char, end_char, n_words, keep_doc_id, keep_doc_ids): every stretch to remove, in code points, and the documents that keep its paragraphs.
 
-    Paragraphs link when they share a band and the Jaccard similarity of their sets of distinct five-word shingles (all words where fewer) is percent/100 or
+    Paragraphs, and lines as they stand, link each among themselves when they share a band and the Jaccard similarity of their sets of distinct five-word shingles (all words where fewer) is percent/100 or
     more; clusters are connected components; their smallest (id, place) stays. Copies of anchors are removed with the words around that equal those of the anchor's first
     place. What is removed and overlaps or follows each other forms a stretch, given if it has run_words words or more; keep_doc_id is that of its first part. Null and empty texts have no paragraphs; rows with a null id take no part; rows that share an id
     are one text's paragraphs more than once, each place once; empty tables give no rows; other columns are ignored.
@@ -358,12 +371,18 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
                 h, start, end, at, text = paragraphs(piece, o)
                 first = np.searchsorted(start, o)
                 g, _ = grams(h, first)
+                edges = breaks(piece, start, first)
+                lead = np.searchsorted(edges, first)  # each text's first line, by its first word
                 chars = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
                 for i in range(hi - lo):
                     base, w = int(np.searchsorted(text, i)), int(first[i])
                     parts = [(a + w, z + w, keep) for a, z, keep in matched(h[w : first[i + 1]], g[w : first[i + 1]], b.column(3)[lo + i].as_py() or ())]
                     for p, c in {(x["p"], x["component"]) for x in b.column(2)[lo + i].as_py() or ()}:
-                        if base + p < len(text) and text[base + p] == i:
+                        if p >= LINES:
+                            k = int(lead[i]) + p - LINES
+                            if k < lead[i + 1]:
+                                parts.append((int(edges[k]), int(edges[k + 1]), [c >> PLACES]))
+                        elif base + p < len(text) and text[base + p] == i:
                             parts.append((int(at[base + p]), int(at[base + p + 1]), [c >> PLACES]))
                     runs: list[list] = []
                     for a, z, keep in sorted(parts):

@@ -140,6 +140,21 @@ def test_short_passages_and_short_lines_are_removed_whole(spark):
     assert all(x.keep_doc_ids == [x.doc_id - 1] for x in got)
 
 
+def test_near_copies_of_whole_lines_are_removed(spark):
+    from conftest import text
+
+    r, rows, want = random.Random(21), [], {}
+    for k in range(80):  # a line of 50 to 60 words, and its copy with one word changed in the middle
+        line = text(r, 50 + k % 11, 50000)
+        w = line.split(" ")
+        w[len(w) // 2] = f"changed{k}"
+        rows += [(2 * k, f"{text(r, 30, 50000)}\n{line}\n{text(r, 30, 50000)}"), (2 * k + 1, f"{text(r, 25, 50000)}\n{' '.join(w)}\n{text(r, 35, 50000)}")]
+        want[2 * k + 1] = " ".join(w)
+    texts = dict(rows)
+    got = substring_dedup.spans(Scratch(spark), spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(want.get(x.doc_id) == texts[x.doc_id][x.start_char : x.end_char] for x in got) >= 0.95 * len(want) and all(x.doc_id in want for x in got)
+
+
 def test_language_accuracy_on_held_out_texts(spark):
     out = langid.identify(table(spark, "/root/testdata/sf0.01", "documents")).where(langid.held_out()).select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
