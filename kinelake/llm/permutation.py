@@ -50,11 +50,12 @@ class PermutationIndex:
 
 def searcher(pivots: dict[int, np.ndarray], k: int, prefix: int, share: float, least: int):
     def rerank(q, qv, x, xv):
-        index = PermutationIndex(xv, pivots[xv.shape[1]], prefix)
+        own = pivots.get(xv.shape[1])
+        index = PermutationIndex(xv, own, prefix) if own is not None else None
         ux, uq = unit(xv), unit(qv)
         most = max(least, int(np.ceil(share * len(x))))
-        for a, u, order in zip(q, uq, index.order(qv)):
-            at = index.near(order, most + 1)
+        for a, u, order in zip(q, uq, index.order(qv) if index else qv):
+            at = index.near(order, most + 1) if index else np.arange(len(x))
             at = at[x[at] != a]
             s = np.clip((ux[at] * u).sum(1), -1.0, 1.0)
             best = np.lexsort((x[at], -s))[:k]
@@ -66,7 +67,8 @@ def searcher(pivots: dict[int, np.ndarray], k: int, prefix: int, share: float, l
 def neighbours(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries`, the k rows of `vectors` found nearest by cosine, which is exact for every row returned.
 
-    Every row is indexed; the pivots are a sample of at most `pivots` rows of each of at most 16 vector lengths (the smallest hashes of their ids). A query's
+    Every row is searched; the pivots are a sample of at most `pivots` rows of each of the 16 commonest vector lengths (the smallest hashes of their ids), and vectors of
+    other lengths are compared with all rows of their block. A query's
     own id is no candidate; ties go to the smaller id; fewer than k candidates are all returned. Vectors that are null, empty, zero or hold a null or
     non-finite component, and rows without id take no part; an empty table gives no rows; other columns are ignored.
     """
@@ -77,5 +79,4 @@ def neighbours(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int
     for d in kinds:
         rows = v.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id", "v").limit(pivots).select("v").collect()
         fitted[d] = unit(np.array([r["v"] for r in rows]))
-    v = v.where(F.size("v").isin(kinds)) if kinds else v
     return searched(scratch, v, some(queries), searcher(fitted, k, prefix, share, least), k, "double")

@@ -82,3 +82,10 @@ def test_recall_on_the_table(spark):
         hit, total = hit + len(best & {r.vec_id for r in own}), total + 5
         assert all(abs(r.score - s[ids == r.vec_id][0]) < 1e-12 for r in own)
     assert hit / total >= 0.9
+
+
+def test_every_vector_length_is_searched(spark):
+    rows = [(100 * d + i, [float((i * 7 + j * 3) % 11 + 1) for j in range(d)]) for d in range(1, 21) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation.neighbours(Scratch(spark), df, df, k=5).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(100 * d + i, 100 * d + j) for d in range(1, 21) for i in range(3) for j in range(3) if i != j}
