@@ -107,7 +107,7 @@ def searcher(scale: float, k: int):
         qi, xi = qi.astype(np.int64), xi.astype(np.int64)
         index = BitSlices(xi)
         for a, r in zip(q, qi):
-            at = index.boundary(r, k + 1)
+            at = index.boundary(r, k + int((x == a).sum()))  # the query's own rows take places too
             at = at[x[at] != a]
             s = xi[at] @ r
             order = np.lexsort((x[at], -s))[:k]

@@ -89,3 +89,11 @@ def test_every_vector_length_is_searched(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = permutation.neighbours(Scratch(spark), df, df, k=5).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(100 * d + i, 100 * d + j) for d in range(1, 21) for i in range(3) for j in range(3) if i != j}
+
+
+def test_repeated_ids_of_the_query_leave_room_for_others(spark):
+    rows = [(1, [9.0, 9.0])] * 8 + [(i, [float(i % 5), 1.0]) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(map(tuple, bitslice.top_k(Scratch(spark), df, df.where("vec_id = 1"), k=5, scale=1.0).collect()))
+    s = sorted((-9 * (i % 5 + 1), i) for i in range(2, 30))[:5]
+    assert got == [(1, k + 1, i, -x) for k, (x, i) in enumerate(s)]
