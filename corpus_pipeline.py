@@ -19,8 +19,11 @@ LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; those without letters or with a score below LEAST_SCORE go."""
-    return langid.identify(docs).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    """Keeps documents whose language is told; those without letters or with a score below LEAST_SCORE go. Without any label to train on, all with letters stay."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,8 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             assert out.count() <= d.count()
         assert corpus_pipeline.STAGES[-1][1](spark, d, DIR).count() >= d.count()
     assert {r.text for r in corpus_pipeline.redact(spark, docs, DIR).collect() if r.doc_id == 6} == {"[SECRET] here"}
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(i, f"the cat number {i}", None, "s", 16) for i in range(20)] + [(90, "12 34", None, "s", 5), (91, None, None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, DIR).collect()) == list(range(20))
