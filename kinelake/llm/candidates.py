@@ -81,7 +81,7 @@ class Signer:
         return out
 
 
-KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bits": pa.binary(), "equal": pa.int64(), **{f"s{i}": pa.int64() for i in range(SKETCH)}}
+KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "f": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bits": pa.binary(), "equal": pa.int64(), **{f"s{i}": pa.int64() for i in range(SKETCH)}}
 
 
 def batch(names: tuple, **cols) -> pa.RecordBatch:

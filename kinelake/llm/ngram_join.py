@@ -23,7 +23,7 @@ ship(__name__)
 #: A token in more texts than this is frequent.
 FREQUENT = 32
 SKETCHED = tuple(f"s{i}" for i in range(C.SKETCH))
-NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "d1", "d2", "bits", *SKETCHED)
+NAMES = ("bucket", "keys", "ids", "ranks", "sig", "pivot", "id", "n", "f", "d1", "d2", "bits", *SKETCHED)
 SINGLE, COMBINED, EVEN = U64(0x2545F4914F6CDD1D), U64(0xD6E8FEB86659FD93), U64(0xFFFFFFFFFFFFFFFE)
 
 
@@ -87,8 +87,8 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
 
 
 def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of rows with tokens h (n a row) of which `often` marks the frequent (single tokens even, combinations odd); the rows they come from; each row's share
-    of rare tokens, 0 to 65535."""
+    """Signatures of rows with tokens h (n a row) of which `often` marks the frequent (single tokens even, combinations odd); the rows they come from; each row's number
+    of rare tokens."""
     row = np.repeat(np.arange(len(n)), n)
     rare_n = np.bincount(row[~often], minlength=len(n))
     need = 2 * (100 - percent) * n // 100 + 1
@@ -114,11 +114,11 @@ def signatures(h: np.ndarray, n: np.ndarray, often: np.ndarray, percent: int) ->
         one = np.flatnonzero((n == 1) & (rare_n == 0))
         out.append(mix(h[np.searchsorted(row, one)] ^ SINGLE) & EVEN)
         rows.append(one)
-    return np.concatenate(out), np.concatenate(rows), (65535 * rare_n // np.maximum(1, n)).astype(np.uint16)
+    return np.concatenate(out), np.concatenate(rows), rare_n
 
 
 def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataFrame:
-    """Blocks of signatures, local stars, and a row (id, n, d1, d2, bits) for each text: its number of tokens, a 128-bit digest and a bitmap of its set."""
+    """Blocks of signatures, local stars, and a row (id, n, f, d1, d2, bits) for each text: its number of tokens and of frequent ones, a 128-bit digest and a bitmap of its set."""
 
     def run(batches):
         signer, known = C.Signer(buckets, NAMES), C.Filter(*often.value)
@@ -132,15 +132,16 @@ def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataF
                 if full.any():
                     d1[full] = np.add.reduceat(m, at[full])
                     d2[full] = np.add.reduceat(mix(m ^ COMBINED), at[full])
-                sig, row, rank = signatures(h, n, known.test(h), percent)
-                yield C.batch(NAMES, id=own, n=n, d1=d1.view(np.int64), d2=d2.view(np.int64), bits=C.bitmaps(h, n), **C.sketches(h, n))
+                sig, row, rare = signatures(h, n, known.test(h), percent)
+                rank = (65535 * rare // np.maximum(1, n)).astype(np.uint16)
+                yield C.batch(NAMES, id=own, n=n, f=n - rare, d1=d1.view(np.int64), d2=d2.view(np.int64), bits=C.bitmaps(h, n), **C.sketches(h, n))
                 given = np.asarray(own.is_valid())
                 ok = given[row]
                 key = np.asarray(own.fill_null(0), np.int64)
                 yield from signer.add(sig[ok], key[row[ok]], rank[row[ok]])
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, d1 long, d2 long, bits binary, {', '.join(f'{c} long' for c in SKETCHED)}")
+    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, f long, d1 long, d2 long, bits binary, {', '.join(f'{c} long' for c in SKETCHED)}")
 
 
 def sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
@@ -166,24 +167,33 @@ def ends(pairs: DataFrame) -> DataFrame:
 def across(star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that stars leave open: members of one signature in different components, one of each set of equal texts.
 
-    node: (id, n, d1, d2, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
-    been verified. Signatures whose members are all in one component, most of them, need nothing more; in others, members outside the pivot's component meet all
-    members of other components, unless a bound rules the link out. Such bounds keep the hot groups small: what x and y share lies in the pivot, or it is a token
-    of x that the pivot doesn't hold; so they share at most what y and the pivot do and the number of such tokens of x. That a token of x's prefix met no other prefix says
-    nothing: others may hold it beyond theirs. Sketches bound it too.
+    node: (id, n, f, d1, d2, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
+    been verified. Signatures whose members are all in one component, most of them, need nothing more; in others, members outside the pivot's component meet
+    members of other components, unless a bound rules the link out.
+
+    Why the rows stay in proportion to the input. A single token (even) is rare, so FREQUENT texts hold it at most. Whoever has a combination (odd) among its signatures
+    has all its rare tokens among them: two texts that share a rare token meet there, so others share frequent tokens only, f of them at most, and link only if
+    both f reach `percent` of 100 + `percent` parts of the sum of their sizes. Before any join this drops members for which the signature's smallest member is too large:
+    of a group of copies with changes of their own, however large, all that are too far from the pivot to link with it, since what they share with any copy they share with the pivot.
+    What x and y share lies in the pivot, or it is a token of x that the pivot doesn't hold; so they share at most what y and the pivot do and the number of such tokens
+    of x. That a token of x's prefix met no other prefix says nothing: others may hold it beyond theirs. Sketches bound it too.
     """
     member = star.join(found, "id")
-    open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")).where("lo <> hi").select("sig", "main")
-    size = node.select("id", "n", "d1", "d2", *SKETCHED)
+    main = F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")
+    open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("sig", "main")
+    size = node.select("id", "n", "f", "d1", "d2", *SKETCHED)
     far = far.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    own = member.where("pivot <> id").join(open_, "sig").join(size, "id").join(far, ["pivot", "id"], "left")
-    own = own.withColumn("most", F.coalesce("most", "n")).withColumn("other", F.col("n") - F.coalesce("least", F.lit(0)))
-    kept = ("n", "id", "component", "most", "other", *SKETCHED)
+    own = member.where("pivot <> id").join(open_, "sig").join(size, "id").withColumn("f", F.when(F.col("sig") % 2 == 0, F.col("n")).otherwise(F.col("f")))
+    reach = lambda f, n, m: f * (100 + percent) >= (n + m) * percent
+    low = own.groupBy("sig").agg(F.min("n").alias("low"))
+    own = own.join(low, "sig").where(reach(F.col("f"), F.col("n"), F.col("low")))
+    own = own.join(far, ["pivot", "id"], "left").withColumn("most", F.coalesce("most", "n")).withColumn("other", F.col("n") - F.coalesce("least", F.lit(0)))
+    kept = ("n", "f", "id", "component", "most", "other", *SKETCHED)
     own = own.groupBy("sig", "main", "n", "d1", "d2").agg(F.min(F.struct(*kept[1:])).alias("m")).select("sig", "main", "n", "m.*")
     x = own.where("component <> main").select("sig", *[F.col(c).alias(f"{c}1") for c in kept])
     y = own.select("sig", *[F.col(c).alias(f"{c}2") for c in kept])
-    share = F.least(F.col("most1") + F.col("other2"), F.col("most2") + F.col("other1"), F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
-    near = share * 100 >= (F.col("n1") + F.col("n2") - share) * percent
+    share = F.least("f1", "f2", F.col("most1") + F.col("other2"), F.col("most2") + F.col("other1"), F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
+    near = share * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
     return x.join(y, "sig").where((F.col("id1") != F.col("id2")) & (F.col("component1") != F.col("component2")) & near).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
@@ -203,7 +213,7 @@ def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_
     often = frequent_filter(docs, buckets, k)
     scratch.release()
     index = scratch.write(indexed(docs, often, buckets, k, percent))
-    info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "d1", "d2", "bits", *SKETCHED))
+    info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "f", "d1", "d2", "bits", *SKETCHED))
     star = scratch.write(C.stars(scratch, index))
     scratch.drop(index)
     scratch.release()
