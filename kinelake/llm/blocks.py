@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import Scratch, ship
+from kinelake.llm.common import Scratch, lean, ship
 
 ship(__name__)
 
@@ -72,7 +72,7 @@ def searched(scratch: Scratch, vectors: DataFrame, queries: DataFrame, search, k
 
     qs = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("part").applyInArrow(one, "ids binary, vecs binary, d int, part int")
     qs = qs.select(F.col("ids").alias("q"), F.col("vecs").alias("qv"), "d", "part")
-    ix = vectors.mapInArrow(blobs(BLOCK_ROWS), "ids binary, vecs binary, d int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ix = vectors.mapInArrow(lean(blobs(BLOCK_ROWS)), "ids binary, vecs binary, d int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(batches):
         for b in batches:
@@ -82,6 +82,6 @@ def searched(scratch: Scratch, vectors: DataFrame, queries: DataFrame, search, k
                 for a, c, s in search(q, qv.reshape(-1, d), x, xv.reshape(-1, d)):
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(c), a), pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s)})
 
-    found = ix.join(qs, ["part", "d"]).mapInArrow(run, f"query_id long, vec_id long, score {score}")
+    found = ix.join(qs, ["part", "d"]).mapInArrow(lean(run), f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

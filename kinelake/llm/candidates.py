@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import U64, Scratch, mix, partitions, ship
+from kinelake.llm.common import U64, Scratch, lean, mix, partitions, ship
 
 ship(__name__)
 
@@ -181,7 +181,7 @@ def filter_of(ids: DataFrame, buckets: int = 256):
         out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("keys").to_pylist()])
         return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "keys": pa.array([out.tobytes()], pa.binary())})
 
-    rows = ids.mapInArrow(tag, "bucket int, keys binary").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary").collect()
+    rows = ids.mapInArrow(lean(tag), "bucket int, keys binary").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary").collect()
     return sent(ids.sparkSession, rows, buckets)
 
 
@@ -229,7 +229,7 @@ def bounded(pairs: DataFrame, node: DataFrame) -> DataFrame:
                 most[i] = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(na), pa.array(nb), pa.array(most)], ["a", "b", "na", "nb", "most"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, na long, nb long, most long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(lean(run), "a long, b long, na long, nb long, most long")
 
 
 #: Ids of a verification block.
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "na", "nb", "shared"])
 
-    return rows.mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    return rows.mapInArrow(lean(run), "a long, b long, na long, nb long, shared long")
 
 
 def similar(percent: int, shared: str = "shared"):

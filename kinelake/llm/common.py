@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Texts are worked on in pieces of about this many bytes, so that the arrays of a piece stay in the CPU's cache.
-PIECE_BYTES = 1 << 20
+#: Texts are worked on in pieces of about this many bytes, so that the arrays of a piece (some fifty bytes a byte of text) stay small.
+PIECE_BYTES = 1 << 18
 
 
 def ship(name: str) -> None:
@@ -26,17 +26,36 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def lean(run):
+    """run, a function on Arrow batches, and afterwards the worker, which Spark keeps for later tasks, gives its free memory back to the system."""
+
+    def inner(*args):
+        try:
+            yield from run(*args)
+        finally:
+            freed()
+
+    return inner
+
+
+def freed() -> None:
+    """Empties the allocators' caches. Without glibc there is nothing to trim."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that every executor shares: spark.checkpoint.dir; where that is unset, the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="kinelake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Scratch:
@@ -100,14 +119,20 @@ _tables: dict = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_tables.get("p", ())) < n:
-        n = max(n, 1 << 16)
-        inv = pow(_BASE, -1, 1 << 64)
-        for key, b in (("p", _BASE), ("q", inv)):
+    """Powers of an odd base and of its inverse, modulo 2**64; those that only a very long text needs aren't kept."""
+
+    def made(n: int) -> list[np.ndarray]:
+        out = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(n, b, U64)
             p[0] = 1
-            _tables[key] = np.multiply.accumulate(p)
+            out.append(np.multiply.accumulate(p, out=p))
+        return out
+
+    if n > 4 * PIECE_BYTES:
+        return tuple(made(n))
+    if "p" not in _tables:
+        _tables["p"], _tables["q"] = made(4 * PIECE_BYTES)
     return _tables["p"], _tables["q"]
 
 

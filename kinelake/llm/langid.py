@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import pieces, ship, utf8
+from kinelake.llm.common import lean, pieces, ship, utf8
 
 ship(__name__)
 
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             if xs:
                 yield pa.RecordBatch.from_pydict({"y": ys, "x": xs})
 
-    rows = sorted((r["y"], bytes(r["x"])) for r in some.mapInArrow(cut, "y string, x binary").limit(2 * sample * WINDOWS * len(sizes)).collect())
+    rows = sorted((r["y"], bytes(r["x"])) for r in some.mapInArrow(lean(cut), "y string, x binary").limit(2 * sample * WINDOWS * len(sizes)).collect())
     labels = sorted({y for y, _ in rows})
     if not labels:
         return None
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> Data
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     out = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(lean(run), out)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import candidates as C
-from kinelake.llm.common import U64, Scratch, components, mix, pieces, sets, ship, shingles, utf8, words
+from kinelake.llm.common import U64, Scratch, components, lean, mix, pieces, sets, shingles, ship, utf8, words
 
 ship(__name__)
 
@@ -82,7 +82,7 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
         bits = [C.filled(U64(b) << U64(32) | often.astype(U64), buckets)] if len(often) else []
         return pa.table({"bucket": pa.array([b] * len(bits), pa.int32()), "keys": pa.array(bits, pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, keys binary, at binary, size binary").groupBy("bucket").applyInArrow(total, "bucket int, keys binary").collect()
+    rows = docs.select("text").mapInArrow(lean(count), "bucket int, keys binary, at binary, size binary").groupBy("bucket").applyInArrow(total, "bucket int, keys binary").collect()
     return C.sent(docs.sparkSession, rows, buckets)
 
 
@@ -141,7 +141,7 @@ def indexed(docs: DataFrame, often, buckets: int, k: int, percent: int) -> DataF
                 yield from signer.add(sig[ok], key[row[ok]], rank[row[ok]])
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, n long, f long, d1 long, d2 long, bits binary, {', '.join(f'{c} long' for c in SKETCHED)}")
+    return docs.select("id", "text").mapInArrow(lean(run), f"{C.ENTRIES}, n long, f long, d1 long, d2 long, bits binary, {', '.join(f'{c} long' for c in SKETCHED)}")
 
 
 def sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
@@ -157,7 +157,7 @@ def sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array([h[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, hashes binary")
 
 
 def ends(pairs: DataFrame) -> DataFrame:

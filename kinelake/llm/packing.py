@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinelake.llm.common import pieces, ship, words
+from kinelake.llm.common import lean, pieces, ship, words
 
 ship(__name__)
 
@@ -331,4 +331,4 @@ def packed(docs: DataFrame, spec: str, end: int = 1, window: int = WINDOW, shard
             yield flush()
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, {SCHEMA}")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinelake.llm.common import Memory, ship
+from kinelake.llm.common import Memory, lean, ship
 
 ship(__name__)
 
@@ -202,4 +202,4 @@ def encode(docs: DataFrame, model: bytes, digests: bool = False, id_col: str = "
                     )
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {DIGESTS if digests else TOKENS}")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, {DIGESTS if digests else TOKENS}")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import candidates as C
-from kinelake.llm.common import U64, Scratch, components, mix, pieces, sets, ship, shingles, utf8, words
+from kinelake.llm.common import U64, Scratch, components, lean, mix, pieces, sets, shingles, ship, utf8, words
 from kinelake.llm.ngram_join import across, ends
 
 ship(__name__)
@@ -170,11 +170,11 @@ def copied(scratch: Scratch, docs: DataFrame) -> DataFrame:
                 cols = list(zip(*out)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["sig", "left", "right"])
 
-    all_ = scratch.write(docs.select("id", "text").mapInArrow(run, "sig long, id long, at long"))
+    all_ = scratch.write(docs.select("id", "text").mapInArrow(lean(run), "sig long, id long, at long"))
     first = all_.groupBy("sig").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("f.id").alias("keep"), F.col("f.at").alias("from"))
     first = scratch.write(first)
     wanted = first.groupBy(F.col("keep").alias("id")).agg(F.collect_list(F.struct("sig", F.col("from").alias("at"))).alias("x"))
-    context = scratch.write(docs.join(wanted, "id").select("text", "x").mapInArrow(around, "sig long, left binary, right binary").dropDuplicates(["sig"]))
+    context = scratch.write(docs.join(wanted, "id").select("text", "x").mapInArrow(lean(around), "sig long, left binary, right binary").dropDuplicates(["sig"]))
     member = all_.join(first, "sig").where("id <> keep OR at <> from").groupBy("id", "sig", "keep").agg(F.collect_set("at").alias("at"))
     out = scratch.write(member.join(context, "sig").groupBy("id").agg(F.collect_list(F.struct("sig", "at", "keep", "left", "right")).alias("near")))
     scratch.drop(all_, first, context)
@@ -260,7 +260,7 @@ def banded(docs: DataFrame, buckets: int) -> DataFrame:
                         yield from signer.add((mix(low[own] + U64(i)) & ~BAND) | U64(i), number[own], digest)
         yield from signer.flush()
 
-    return docs.select("id", "text").mapInArrow(run, f"{C.ENTRIES}, equal long")
+    return docs.select("id", "text").mapInArrow(lean(run), f"{C.ENTRIES}, equal long")
 
 
 def gathered(scratch: Scratch, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +317,7 @@ def sets_of(docs: DataFrame, wanted) -> DataFrame:
                     cut = np.concatenate([[0], np.cumsum(count)])
                     yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array([s[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, hashes binary")
 
 
 SPANS = "start_char long, end_char long, n_words long, keep_doc_id long, keep_doc_ids array<long>"
@@ -398,7 +398,7 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "start_char", "end_char", "n_words", "keep_doc_id", "keep_doc_ids"])
 
-    return docs.join(by, "id").select("id", "text", "gone", "near").mapInArrow(run, f"id long, {SPANS}").withColumnRenamed("id", id_col)
+    return docs.join(by, "id").select("id", "text", "gone", "near").mapInArrow(lean(run), f"id long, {SPANS}").withColumnRenamed("id", id_col)
 
 
 def removed(docs: DataFrame, stretches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
