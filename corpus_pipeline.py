@@ -19,7 +19,11 @@ LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; those without letters or with a score below LEAST_SCORE go. Without any label to train on, all with letters stay."""
+    """Keeps documents whose language is told; null and empty texts, those without letters and those with a score below LEAST_SCORE go.
+
+    Whole texts are judged, very long ones too. Rows that repeat are judged alike, each by itself, whatever their id. Without any label to train on, all
+    documents with letters stay. An empty table stays empty; columns beyond those of documents are left out, whatever their names.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
@@ -27,26 +31,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later occurrences of three-line windows; documents left without text go, as nothing of their own is in them."""
+    """Removes later occurrences of three-line windows; documents left without text go, as nothing of their own is in them.
+
+    Null, empty and short texts stay as they are. Of equal windows the one with the smallest id, then place, is the first; rows that repeat id and text are kept
+    alike. An empty table stays empty; columns beyond those of documents are left out, whatever their names.
+    """
     d = line_dedup.deduplicated(Scratch(spark), docs, size=3)
     return d.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component."""
+    """Keeps one document of each component: the one with the smallest id.
+
+    Texts without words have no links and stay, null ones and those of null ids too. Of rows that repeat both id and text one stays; other texts under the same id are
+    one node of the graph and stay or go together. Ties cannot arise, as ids are told apart; columns beyond those of documents are left out.
+    """
     out = ngram_join.joined(Scratch(spark), docs, percent=80, k=5)
     gone = out.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(twice)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; every document stays."""
-    d = secrets.redacted(docs.withColumn("__old", F.col("text")))
+    """Replaces secrets by a mark; every document stays, null and empty texts as they are, repeated rows alike.
+
+    n_chars is counted anew where a text changed. Overlapping secrets become one mark. An empty table stays empty; other columns are left out.
+    """
+    d = secrets.redacted(docs.select(*COLUMNS, F.col("text").alias("__old")))
     return d.withColumn("n_chars", F.when(F.col("text") != F.col("__old"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of at most 2048 tokens."""
+    """Packs all documents into sequences of at most 2048 tokens: null and empty texts as their end token alone, rows that repeat as documents each; see packing.packed."""
     return packing.packed(docs, tokenizer_file("word_bpe_49k.json").decode(), end=1)
 
 
