@@ -64,6 +64,9 @@ class Signer:
         self.held, self.n = [], 0
         order = np.lexsort((ids, rank, sig))
         sig, ids, rank = sig[order], ids[order], rank[order]
+        keep = np.ones(len(sig), bool)  # what repeats signature and id is given once
+        keep[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+        sig, ids, rank = sig[keep], ids[keep], rank[keep]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(first, len(sig)))
         many = np.repeat(size >= LOCAL, size)
@@ -81,7 +84,7 @@ class Signer:
         return out
 
 
-KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "f": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bits": pa.binary(), "equal": pa.int64(), **{f"s{i}": pa.int64() for i in range(SKETCH)}}
+KINDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "ranks": pa.binary(), "sig": pa.int64(), "pivot": pa.int64(), "id": pa.int64(), "n": pa.int64(), "f": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bits": pa.binary(), "doc": pa.int64(), "t": pa.int64(), "place": pa.int64(), **{f"s{i}": pa.int64() for i in range(SKETCH)}}
 
 
 def batch(names: tuple, **cols) -> pa.RecordBatch:
@@ -106,10 +109,14 @@ def stars(scratch: Scratch, entries: DataFrame) -> DataFrame:
         order, k = order[own], k[own]
         order = order[np.lexsort((ids[order], rank[order], k))]
         k = key[order]
+        keep = np.ones(len(k), bool)
+        keep[1:] = (k[1:] != k[:-1]) | (ids[order][1:] != ids[order][:-1])
+        order, k = order[keep], k[keep]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
         size = np.diff(np.append(first, len(k)))
         sig = (np.int64(t.column("bucket")[0].as_py()) << np.int64(32)) | k.astype(np.int64)
-        return pa.table({"sig": sig, "pivot": np.repeat(ids[order][first], size), "id": ids[order]})
+        own = np.repeat(size > 1, size)
+        return pa.table({"sig": sig[own], "pivot": np.repeat(ids[order][first], size)[own], "id": ids[order][own]})
 
     met = scratch.write(entries.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "ranks").groupBy("bucket").applyInArrow(run, STARS))
     top = met.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("top"))

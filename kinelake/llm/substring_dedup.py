@@ -1,11 +1,10 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a stretch of a line cut where its words say so: after a word whose hash leaves no remainder by CUT, no sooner than LEAST words and no later than MOST after
-the last cut. Lines as they stand are compared too, with lines alone, so that a long line with a few changed words is met. Cuts move with the text, so a passage that is copied into other lines is cut alike wherever it lies. Paragraphs that share a MinHash band are
-candidates; their shingle sets are compared exactly; connected paragraphs form a cluster, whose first one (smallest document, then place) stays.
+A paragraph is a line that holds words. Paragraphs of the same words in the same order are one node, told by a 128-bit digest. Nodes that agree in a MinHash band (ROWS minima
+of their five-word shingles) are candidates; their shingle sets are compared exactly; connected nodes form a cluster, whose first paragraph (smallest document, then place) stays.
 Of the others, runs of RUN words or more are removed: a short sentence that texts share by custom is left alone.
 
-Passages are also found without regard to paragraphs and lines. Of each WINDOW stretches of GRAM words that follow each other, the one with the smallest hash is an anchor, so every
+Passages are also found without regard to paragraphs. Of each WINDOW stretches of GRAM words that follow each other, the one with the smallest hash is an anchor, so every
 passage of GRAM + WINDOW - 1 words (51) has an anchor that depends on nothing outside it. A copy is matched with its anchor's first place, word by word in both directions.
 """
 
@@ -18,28 +17,27 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import candidates as C
 from kinelake.llm.common import U64, Scratch, components, lean, mix, pieces, sets, shingles, ship, utf8, words
-from kinelake.llm.ngram_join import across, ends
+from kinelake.llm.ngram_join import SKETCHED, across, ends
 
 ship(__name__)
 
-#: Words of a paragraph, the mean distance of cuts, words of a run that is removed, and bands of one row each:
-#: two paragraphs of similarity 0.8 share one of BANDS minima with probability 1 - 0.2**BANDS, which is 0.992 for 3.
-LEAST, MOST, CUT, RUN, BANDS = 6, 48, 8, 20, 3
-SEEDS = mix(np.arange(101, 101 + BANDS, dtype=U64))
+#: Words of a run that is removed. Bands and minima of each: paragraphs of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS,
+#: which is 0.997 at 0.8, 0.66 at 0.5 and 0.06 at 0.2.
+RUN, BANDS, ROWS = 20, 8, 3
+SEEDS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=U64)) | U64(1)
 STEPS = mix(np.arange(201, 221, dtype=U64)) | U64(1)
-#: Paragraphs are numbered id * 2**PLACES + place; ids must fit in the other bits of a long.
-PLACES = 22
 #: Words of an anchor, and stretches of which one is an anchor: also the words that a match is extended by on either side, where the next anchor's match takes over.
 GRAM, WINDOW = 20, 32
-#: Lines are numbered in the upper half of the places, and their shingles are told from paragraphs'.
-LINES, LINE = 1 << 21, U64(0xA0761D6478BD642F)
 NONE = U64(0xFFFFFFFFFFFFFFFF)
+DIGEST = U64(0xA0761D6478BD642F)
+NAMES = (*C.ENTRY_NAMES, "d1", "d2", "doc", "t", "place")
+LINE = "d1 long, d2 long, doc long, t long, place long"
 
 
 def breaks(data: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray:
     """First words of lines, and the number of words."""
     n = len(start)
-    hard = np.zeros(n + 1, bool)  # a paragraph starts at this word
+    hard = np.zeros(n + 1, bool)  # a line starts at this word
     hard[first[:-1][np.diff(first) > 0]] = True
     hard[n] = True
     if n:
@@ -49,52 +47,113 @@ def breaks(data: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray
     return np.flatnonzero(hard)
 
 
-def paragraphs(data: np.ndarray, off: np.ndarray):
-    """(word hashes, word starts, word ends, first word of each paragraph and one more, text of each paragraph) of some texts."""
-    h, start, end, first = words(data, off)
-    n = len(h)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    soft = np.flatnonzero((h >> U64(17)) % U64(CUT) == 0) + 1
-    edges, at = breaks(data, start, first), []
-    lo_s = np.searchsorted(soft, edges)
-    for i in range(len(edges) - 1):
-        a, z = int(edges[i]), int(edges[i + 1])
-        at.append(a)
-        if z - a > LEAST:
-            last = a
-            for c in soft[lo_s[i] : lo_s[i + 1]].tolist():
-                while c - last > MOST:
-                    last += MOST
-                    at.append(last)
-                if c - last >= LEAST and z - c >= LEAST:
-                    at.append(c)
-                    last = c
-            while z - last > MOST:
-                last += MOST
-                at.append(last)
-    at = np.array([*at, n], np.int64)
-    return h, start, end, at, row[at[:-1]] if n else np.zeros(0, np.int64)
-
-
-def placed(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Numbers of paragraphs: their text's id and their place in it."""
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    if len(text) and (place.max() >= LINES or np.abs(ids).max() >= 1 << (62 - PLACES)):
-        raise ValueError("an id or a text is too long for the numbering of paragraphs")
-    return ids[text] << PLACES | place
-
-
-def units(data: np.ndarray, off: np.ndarray, ids: np.ndarray):
-    """(number, words, shingles, number of shingles) of all paragraphs of some texts, then of all lines."""
-    h, start, _, at, text = paragraphs(data, off)
-    if not len(text):
-        return
-    s, count = shingles(h, at)
-    yield placed(ids, text), np.diff(at), s, count
-    at = breaks(data, start, np.searchsorted(start, off))
-    s, count = shingles(h, at)
-    text = np.searchsorted(off, start[at[:-1]], "right") - 1
-    yield placed(ids, text) | LINES, np.diff(at), mix(s ^ LINE), count
+def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line's words in order; at: first words, and the number of words."""
+    place = np.arange(len(h), dtype=U64) - np.repeat(at[:-1], np.diff(at)).astype(U64)
+    x = mix(h + place * DIGEST)
+    return np.add.reduceat(x, at[:-1]), np.add.reduceat(mix(x ^ DIGEST), at[:-1])
+
+
+def paragraphs(batch: pa.RecordBatch):
+    """For pieces of a batch (id, t, text): (ids, t, text and place of each paragraph, shingles, their numbers, digests)."""
+    batch = batch.filter(batch.column(0).is_valid())
+    data, off = utf8(batch.column(2))
+    ids, t = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
+    for lo, hi in pieces(off):
+        h, start, _, first = words(piece := data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        if not len(h):
+            continue
+        at = breaks(piece, start, first)
+        text = np.searchsorted(first, at[:-1], "right") - 1
+        s, count = shingles(h, at)
+        yield ids[lo:hi][text], t[lo:hi][text], np.arange(len(text)) - np.searchsorted(text, text), s, count, *digests(h, at)
+
+
+def banded(docs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of band signatures and local stars over nodes (a node's number is half of its digest), and a row (d1, d2, doc, t, place) for each paragraph."""
+
+    def run(batches):
+        signer = C.Signer(buckets, NAMES)
+        for b in batches:
+            for ids, t, place, s, count, d1, d2 in paragraphs(b):
+                yield C.batch(NAMES, d1=d1.view(np.int64), d2=d2.view(np.int64), doc=ids, t=t, place=place)
+                edge = np.cumsum(count) - count
+                own = np.unique(d1, return_index=True)[1]
+                node = d1[own].view(np.int64)
+                for i in range(BANDS):
+                    sig = np.full(len(own), i, U64)
+                    for seed in SEEDS[i * ROWS : (i + 1) * ROWS]:
+                        sig = mix(sig + np.minimum.reduceat(s * seed, edge)[own])
+                    yield from signer.add(sig, node, np.zeros(len(own), np.uint16))
+        yield from signer.flush()
+
+    return docs.select("id", "t", "text").mapInArrow(lean(run), f"{C.ENTRIES}, {LINE}")
+
+
+def sets_of(docs: DataFrame, wanted) -> DataFrame:
+    """(id, hashes, n, a sketch) of the nodes that pass a filter (broadcast): their ordered distinct shingles. A node may be given more than once."""
+    kind = f"id long, hashes binary, n long, {', '.join(f'{c} long' for c in SKETCHED)}"
+
+    def run(batches):
+        known = C.Filter(*wanted.value)
+        for b in batches:
+            for _, _, _, s, count, d1, _ in paragraphs(b):
+                own = np.unique(d1, return_index=True)[1]
+                own = own[known.test(C.id_hash(d1[own].view(np.int64)))]
+                if not len(own):
+                    continue
+                edge = np.cumsum(count) - count
+                idx = np.concatenate([np.arange(edge[i], edge[i] + count[i]) for i in own])
+                h, n = sets(s[idx], count[own])
+                cut = np.concatenate([[0], np.cumsum(n)])
+                sketch = C.sketches(h, n)
+                cols = [pa.array(d1[own].view(np.int64)), pa.array([h[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), pa.array(n), *[pa.array(sketch[c]) for c in SKETCHED]]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "hashes", "n", *SKETCHED])
+
+    return docs.select("id", "t", "text").mapInArrow(lean(run), kind)
+
+
+def clusters(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
+    """(id, t, gone): of each text, the paragraphs (p: place) that equal, or are linked with, an earlier one, and the document that keeps it (keep)."""
+    buckets = C.buckets_of(docs.sparkSession)
+    index = scratch.write(banded(docs, buckets))
+    line = index.where("d1 IS NOT NULL").select("d1", "d2", "doc", "t", "place")
+    star = scratch.write(C.stars(scratch, index))
+    scratch.release()
+    pairs = scratch.write(star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = ends(pairs)
+    whole = scratch.write(sets_of(docs, C.filter_of(wanted)).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    scratch.release()
+    node = whole.select("id", "n", F.col("n").alias("f"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), *SKETCHED)
+    # pairs that sketches rule out need no sets
+    side = lambda k: node.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in SKETCHED])
+    bound = F.least(F.col("na") - C.alone("a", "b"), F.col("nb") - C.alone("b", "a"))
+    bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
+    met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), whole.select("id", "hashes")))
+    scratch.release()
+    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
+    every = node.select("id")
+    copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
+    links = scratch.write(met.where(C.similar(percent)).select("a", "b").union(copies))
+    found = scratch.write(components(scratch, every, links))
+    rest = scratch.write(across(star, found, node, far, percent))
+    scratch.drop(star)
+    scratch.release()
+    if not rest.isEmpty():
+        more = scratch.write(C.verified(rest, whole.select("id", "hashes")).where(C.similar(percent)).select("a", "b"))
+        found = scratch.write(components(scratch, every, links.union(more)))
+    scratch.drop(whole, bounds, met)
+    linked = found.join(found.where("id <> component").select("component").distinct(), "component").select(F.col("id").alias("d1"), "component")
+    first = line.groupBy("d1", "d2").agg(F.min(F.struct("doc", "t", "place")).alias("f"), F.count("*").alias("c")).join(linked, "d1", "left").where("c > 1 OR component IS NOT NULL")
+    first = scratch.write(first)
+    best = first.where("component IS NOT NULL").groupBy("component").agg(F.min("f").alias("best"))
+    keep = scratch.write(first.join(best, "component", "left").select("d1", "d2", F.coalesce("best", "f").alias("keep")))
+    own = (F.col("doc") == F.col("keep.doc")) & (F.col("t") == F.col("keep.t")) & (F.col("place") == F.col("keep.place"))
+    out = line.join(keep, ["d1", "d2"]).where(~own).groupBy(F.col("doc").alias("id"), "t").agg(F.collect_set(F.struct(F.col("place").alias("p"), F.col("keep.doc").alias("keep"))).alias("gone"))
+    out = scratch.write(out)
+    scratch.drop(index, first, keep)
+    scratch.release()
+    return out
 
 
 def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,45 +198,46 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copied(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(id, near): of each text that holds anchors of an earlier place, for each anchor (sig, at: its places, keep: the first place's id, left, right: low halves of the hashes of the words around that)."""
+    """(id, t, near): of each text that holds anchors of an earlier place, for each anchor (sig, at: its places, keep: the first place's id, left, right: low halves of the hashes of the words around that)."""
+
+    def anchored(b):
+        b = b.filter(b.column(0).is_valid())
+        data, off = utf8(b.column(2))
+        ids, t = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)
+        for lo, hi in pieces(off):
+            h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            if len(h):
+                at, sig = anchors(h, first)
+                text = np.searchsorted(first, at, "right") - 1
+                yield h, first, at, text, sig.view(np.int64), ids[lo:hi][text], t[lo:hi][text]
 
     def run(batches):
         for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            data, off = utf8(b.column(1))
-            ids = np.asarray(b.column(0), np.int64)
-            for lo, hi in pieces(off):
-                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                if not len(h):
-                    continue
-                at, sig = anchors(h, first)
-                text = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(at - first[text])], ["sig", "id", "at"])
+            for _, first, at, text, sig, ids, t in anchored(b):
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids), pa.array(t), pa.array(at - first[text])], ["sig", "id", "t", "at"])
 
     def around(batches):
+        known = C.Filter(*wanted.value)
         for b in batches:
-            data, off = utf8(b.column(0))
-            for lo, hi in pieces(off):
-                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                g, _ = grams(h, first)
-                low, out = (h & C.LOW).astype("<u4"), []
-                for i in range(hi - lo):
-                    a, z = int(first[i]), int(first[i + 1])
-                    for x in b.column(1)[lo + i].as_py():
-                        k = a + x["at"]
-                        if k < z and int(g[k : k + 1].view(np.int64)[0]) == x["sig"]:
-                            out.append((x["sig"], low[max(a, k - WINDOW) : k].tobytes(), low[k + GRAM : min(z, k + GRAM + WINDOW)].tobytes()))
-                cols = list(zip(*out)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["sig", "left", "right"])
-
-    all_ = scratch.write(docs.select("id", "text").mapInArrow(lean(run), "sig long, id long, at long"))
-    first = all_.groupBy("sig").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("f.id").alias("keep"), F.col("f.at").alias("from"))
+            for h, first, at, text, sig, ids, t in anchored(b):
+                own = np.flatnonzero(known.test(C.id_hash(sig ^ (at - first[text]))))
+                low = (h & C.LOW).astype("<u4")
+                left = [low[max(first[i], k - WINDOW) : k].tobytes() for k, i in zip(at[own], text[own])]
+                right = [low[k + GRAM : min(first[i + 1], k + GRAM + WINDOW)].tobytes() for k, i in zip(at[own], text[own])]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[own]), pa.array(ids[own]), pa.array(t[own]), pa.array((at - first[text])[own]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["sig", "keep", "kt", "from", "left", "right"])
+
+    texts = docs.select("id", "t", "text")
+    all_ = scratch.write(texts.mapInArrow(lean(run), "sig long, id long, t long, at long"))
+    first = all_.groupBy("sig").agg(F.min(F.struct("id", "t", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("f.id").alias("keep"), F.col("f.t").alias("kt"), F.col("f.at").alias("from"))
     first = scratch.write(first)
-    wanted = first.groupBy(F.col("keep").alias("id")).agg(F.collect_list(F.struct("sig", F.col("from").alias("at"))).alias("x"))
-    context = scratch.write(docs.join(wanted, "id").select("text", "x").mapInArrow(lean(around), "sig long, left binary, right binary").dropDuplicates(["sig"]))
-    member = all_.join(first, "sig").where("id <> keep OR at <> from").groupBy("id", "sig", "keep").agg(F.collect_set("at").alias("at"))
-    out = scratch.write(member.join(context, "sig").groupBy("id").agg(F.collect_list(F.struct("sig", "at", "keep", "left", "right")).alias("near")))
+    # the words around first places, from those texts again: a filter of (anchor, place) tells which anchors are wanted
+    wanted = C.filter_of(first.select(F.col("sig").bitwiseXOR(F.col("from")).alias("id")))
+    context = texts.mapInArrow(lean(around), "sig long, keep long, kt long, `from` long, left binary, right binary")
+    context = scratch.write(first.join(context, ["sig", "keep", "kt", "from"]).dropDuplicates(["sig"]))
+    member = all_.join(first, "sig").where("id <> keep OR t <> kt OR at <> from").groupBy("id", "t", "sig", "keep").agg(F.collect_set("at").alias("at"))
+    out = scratch.write(member.join(context.select("sig", "left", "right"), "sig").groupBy("id", "t").agg(F.collect_list(F.struct("sig", "at", "keep", "left", "right")).alias("near")))
     scratch.drop(all_, first, context)
+    scratch.release()
     return out
 
 
@@ -199,168 +259,20 @@ def matched(h: np.ndarray, g: np.ndarray, near: list) -> list[tuple[int, int, li
     return out
 
 
-NAMES = (*C.ENTRY_NAMES, "equal")
-BAND = U64(3)  # the bits of a signature that tell its band
-
-
-def met(sig: np.ndarray, ids: np.ndarray, digest: np.ndarray) -> tuple:
-    """Of entries: (pivots, ids) of paragraphs equal to one with a smaller id, told by the first band alone, and the signatures, ids and digests without them, in order."""
-    order = np.lexsort((ids, digest, sig))
-    sig, ids, digest = sig[order], ids[order], digest[order]
-    lead = np.ones(len(sig), bool)
-    lead[1:] = (sig[1:] != sig[:-1]) | (digest[1:] != digest[:-1])
-    first = np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))
-    twin = ~lead & ((sig & sig.dtype.type(3)) == 0) & (ids != ids[first])
-    equal = ids[first][twin], ids[twin]
-    sig, ids, digest = sig[lead], ids[lead], digest[lead]
-    order = np.lexsort((ids, sig))
-    return equal, sig[order], ids[order], digest[order]
-
-
-class Bands(C.Signer):
-    """A signer whose ranks are digests: equal paragraphs of a flush are told apart at once, and only one of them goes on."""
-
-    def flush(self) -> list[pa.RecordBatch]:
-        if not self.n:
-            return []
-        equal, sig, ids, digest = met(*(np.concatenate(x) for x in zip(*self.held)))
-        self.held, self.n = [], 0
-        out = [C.batch(NAMES, equal=np.ones(len(equal[0]), np.int64), pivot=equal[0], id=equal[1])] if len(equal[0]) else []
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(first, len(sig)))
-        many = np.repeat(size >= C.LOCAL, size)
-        lead = np.zeros(len(sig), bool)
-        lead[first] = True
-        if many.any():
-            out.append(C.batch(NAMES, sig=sig[many].astype(np.int64), pivot=np.repeat(ids[first], size)[many], id=ids[many]))
-        keep = lead | ~many
-        sig, ids, digest = sig[keep], ids[keep], digest[keep]
-        parts = list(C.split(sig, self.buckets))
-        key = (sig & C.LOW).astype("<u4")
-        out.append(C.batch(NAMES, bucket=[b for b, _, _ in parts], keys=[key[a:z].tobytes() for _, a, z in parts], ids=[ids[a:z].tobytes() for _, a, z in parts], ranks=[digest[a:z].tobytes() for _, a, z in parts]))
-        return out
-
-
-def banded(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of band signatures of every paragraph and line of LEAST words or more, local stars, and rows (equal, pivot, id) of equal paragraphs."""
-
-    def run(batches):
-        signer = Bands(buckets, NAMES)
-        for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            data, off = utf8(b.column(1))
-            ids = np.asarray(b.column(0), np.int64)
-            for lo, hi in pieces(off):
-                for number, size, s, count in units(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ids[lo:hi]):
-                    edge = np.cumsum(count) - count
-                    own = size >= LEAST
-                    digest = (np.add.reduceat(mix(s ^ SEEDS[-1] * U64(3)), edge)[own] >> U64(32)).astype("<u4")
-                    for i, seed in enumerate(SEEDS):
-                        low = np.minimum.reduceat(mix(s ^ seed), edge)
-                        yield from signer.add((mix(low[own] + U64(i)) & ~BAND) | U64(i), number[own], digest)
-        yield from signer.flush()
-
-    return docs.select("id", "text").mapInArrow(lean(run), f"{C.ENTRIES}, equal long")
-
-
-def gathered(scratch: Scratch, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sig, pivot, id): stars of signatures over paragraphs of which no two are equal; and (pivot, id): every paragraph that equals one with a smaller id, the smallest."""
-
-    def run(t: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()])
-        digest = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("ranks").to_pylist()])
-        # entries that stand alone, most of them, go before the sorting of three columns
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        alone = np.ones(len(k), bool)
-        alone[1:] &= k[1:] != k[:-1]
-        alone[:-1] &= k[1:] != k[:-1]
-        order = order[~alone]
-        equal, key, ids, _ = met(key[order], ids[order], digest[order])
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        size = np.diff(np.append(first, len(key)))
-        own = np.repeat(size > 1, size)
-        sig = (np.int64(t.column("bucket")[0].as_py()) << np.int64(32)) | key.astype(np.int64)
-        return pa.table({
-            "sig": pa.array(np.concatenate([sig[own], np.zeros(len(equal[0]), np.int64)])), "pivot": np.concatenate([np.repeat(ids[first], size)[own], equal[0]]),
-            "id": np.concatenate([ids[own], equal[1]]), "equal": np.repeat(np.array([0, 1]), [int(own.sum()), len(equal[0])]),
-        })
-
-    out = scratch.write(entries.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "ranks").groupBy("bucket").applyInArrow(run, f"{C.STARS}, equal long"))
-    star, same = out.where("equal = 0").select("sig", "pivot", "id"), out.where("equal = 1").select("pivot", "id").distinct()
-    top = star.select("sig", F.col("id").alias("pivot"), F.col("pivot").alias("top"))
-    local = entries.where("sig IS NOT NULL").select("sig", "pivot", "id").join(top, ["sig", "pivot"], "left").where("top IS NULL OR pivot <> id")
-    star = star.union(local.select("sig", F.coalesce("top", "pivot"), "id"))
-    first = same.groupBy("id").agg(F.min("pivot").alias("pivot"))
-    up = first.select(F.col("id").alias("pivot"), F.col("pivot").alias("top"))
-    here = entries.where("equal = 1").select("pivot", "id").join(up, "pivot", "left").select(F.coalesce("top", "pivot").alias("pivot"), "id")
-    return scratch.write(star), scratch.write(here.union(first.select("pivot", "id")).where("pivot <> id").groupBy("id").agg(F.min("pivot").alias("pivot")))
-
-
-def sets_of(docs: DataFrame, wanted) -> DataFrame:
-    """(id, hashes) of the paragraphs and lines that pass a filter (broadcast): their ordered distinct shingles."""
-    def run(batches):
-        known = C.Filter(*wanted.value)
-        for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            data, off = utf8(b.column(1))
-            ids = np.asarray(b.column(0), np.int64)
-            for lo, hi in pieces(off):
-                for number, size, s, count in units(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ids[lo:hi]):
-                    own = np.flatnonzero((size >= LEAST) & known.test(C.id_hash(number)))
-                    if not len(own):
-                        continue
-                    edge = np.cumsum(count) - count
-                    idx = np.concatenate([np.arange(edge[i], edge[i] + count[i]) for i in own])
-                    s, count = sets(s[idx], count[own])
-                    cut = np.concatenate([[0], np.cumsum(count)])
-                    yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array([s[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "hashes"])
-
-    return docs.select("id", "text").mapInArrow(lean(run), "id long, hashes binary")
-
-
 SPANS = "start_char long, end_char long, n_words long, keep_doc_id long, keep_doc_ids array<long>"
 
 
 def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, start_char, end_char, n_words, keep_doc_id, keep_doc_ids): every stretch to remove, in code points, and the documents that keep its paragraphs.
 
-    Paragraphs, and lines as they stand, link each among themselves when they share a band and the Jaccard similarity of their sets of distinct five-word shingles (all words where fewer) is percent/100 or
-    more; clusters are connected components; their smallest (id, place) stays. Copies of anchors are removed with the words around that equal those of the anchor's first
-    place. What is removed and overlaps or follows each other forms a stretch, given if it has run_words words or more; keep_doc_id is that of its first part. Null and empty texts have no paragraphs; rows with a null id take no part; rows that share an id
-    are one text's paragraphs more than once, each place once; empty tables give no rows; other columns are ignored.
+    Paragraphs link when they are equal word by word (A-Z as a-z), or share a band and the Jaccard similarity of their sets of distinct five-word shingles (all words where fewer)
+    is percent/100 or more; clusters are connected components; their smallest (id, text hash, place) stays. Copies of anchors are removed with the words around that equal those of the
+    anchor's first place. What is removed and overlaps or follows each other forms a stretch, given if it has run_words words or more; keep_doc_id is that of its first part.
+    Null and empty texts have no paragraphs; a very long text or line is one row and is worked on whole; rows with a null id take no part. Texts are told by id and a hash of the text: rows
+    that repeat both are one text, whose stretches are given for each of the rows, and other texts under the same id are documents of their own. Any long is an id. Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = C.buckets_of(spark)
-    index = scratch.write(banded(docs, buckets))
-    star, equal = gathered(scratch, index)
-    scratch.drop(index)
-    scratch.release()
-    pairs = scratch.write(star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    whole = scratch.write(sets_of(docs, C.filter_of(ends(pairs))).join(ends(pairs), "id", "left_semi").distinct())
-    met_ = scratch.write(C.verified(pairs, whole))
-    links = scratch.write(met_.where(C.similar(percent)).select("a", "b"))
-    scratch.release()
-    node = whole.select("id", (F.length("hashes") / 8).cast("long").alias("n"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(C.SKETCH)])
-    every = node.select("id")
-    copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
-    links = scratch.write(links.union(copies))
-    found = scratch.write(components(scratch, every, links))
-    far = met_.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most"))
-    rest = scratch.write(across(star, found, node, far, percent))
-    scratch.drop(star)
-    scratch.release()
-    if not rest.isEmpty():
-        found = scratch.write(components(scratch, every, links.union(scratch.write(C.verified(rest, whole).where(C.similar(percent)).select("a", "b")))))
-    scratch.drop(whole, met_)
-    found = found.where("id <> component")
-    top = equal.join(found.select(F.col("id").alias("pivot"), "component"), "pivot", "left").select("id", F.coalesce("component", "pivot").alias("component"))
-    found = scratch.write(top.union(found.join(equal, "id", "left_anti")))
-    scratch.release()
-    by = found.select(F.shiftright("id", PLACES).alias("id"), F.struct(F.col("id").bitwiseAND((1 << PLACES) - 1).alias("p"), "component").alias("x")).groupBy("id").agg(F.collect_list("x").alias("gone"))
-    by = by.join(copied(scratch, docs), "id", "full")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    by = clusters(scratch, docs, percent).join(copied(scratch, docs), ["id", "t"], "full")
 
     def run(batches):
         for b in batches:
@@ -368,22 +280,18 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
             out = []
             for lo, hi in pieces(off):
                 piece, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                h, start, end, at, text = paragraphs(piece, o)
-                first = np.searchsorted(start, o)
+                h, start, end, first = words(piece, o)
                 g, _ = grams(h, first)
                 edges = breaks(piece, start, first)
                 lead = np.searchsorted(edges, first)  # each text's first line, by its first word
                 chars = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
                 for i in range(hi - lo):
-                    base, w = int(np.searchsorted(text, i)), int(first[i])
+                    w = int(first[i])
                     parts = [(a + w, z + w, keep) for a, z, keep in matched(h[w : first[i + 1]], g[w : first[i + 1]], b.column(3)[lo + i].as_py() or ())]
-                    for p, c in {(x["p"], x["component"]) for x in b.column(2)[lo + i].as_py() or ()}:
-                        if p >= LINES:
-                            k = int(lead[i]) + p - LINES
-                            if k < lead[i + 1]:
-                                parts.append((int(edges[k]), int(edges[k + 1]), [c >> PLACES]))
-                        elif base + p < len(text) and text[base + p] == i:
-                            parts.append((int(at[base + p]), int(at[base + p + 1]), [c >> PLACES]))
+                    for x in b.column(2)[lo + i].as_py() or ():
+                        k = int(lead[i]) + x["p"]
+                        if k < lead[i + 1]:
+                            parts.append((int(edges[k]), int(edges[k + 1]), [x["keep"]]))
                     runs: list[list] = []
                     for a, z, keep in sorted(parts):
                         if runs and runs[-1][1] >= a:
@@ -398,7 +306,7 @@ def spans(scratch: Scratch, docs: DataFrame, percent: int = 80, run_words: int =
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "start_char", "end_char", "n_words", "keep_doc_id", "keep_doc_ids"])
 
-    return docs.join(by, "id").select("id", "text", "gone", "near").mapInArrow(lean(run), f"id long, {SPANS}").withColumnRenamed("id", id_col)
+    return docs.join(by, ["id", "t"]).select("id", "text", "gone", "near").mapInArrow(lean(run), f"id long, {SPANS}").withColumnRenamed("id", id_col)
 
 
 def removed(docs: DataFrame, stretches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

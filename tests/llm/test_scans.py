@@ -82,19 +82,30 @@ def test_line_windows_equal_brute_force(spark):
     assert sorted(map(str, (x.text for x in line_dedup.deduplicated(Scratch(spark), twice).collect()))) == ["", "", "a\nb\nc"]
 
 
-def test_paragraphs_move_with_the_text():
-    import numpy as np
-
-    from conftest import text
-
-    r = random.Random(6)
-    passage = text(r, 60, 50000)
-    cuts = []
-    for lead in ("", "some other words before it ", "one\n"):
-        data = np.frombuffer((lead + passage).encode(), np.uint8)
-        h, start, end, at, row = substring_dedup.paragraphs(data, np.array([0, len(data)]))
-        cuts.append({bytes(data[start[a] : end[z - 1]]) for a, z in zip(at[:-1], at[1:])})
-    assert len(cuts[0] & cuts[1]) >= len(cuts[0]) - 2 and len(cuts[0] & cuts[2]) >= len(cuts[0]) - 1
+def test_paragraph_clusters_equal_brute_force(spark):
+    from conftest import edited, text
+    from test_ngram_join import brute as components_of, shingle_set
+
+    r, big = random.Random(6), 1 << 62
+    base = [text(r, r.randrange(30, 90), 50000) for _ in range(12)] + ["one", "One two", "a b c d e"]
+    rows = []
+    for k in range(150):
+        own = [edited(r, x, r.randrange(0, 2)) if r.random() < 0.5 else x for x in r.choices(base, k=r.randrange(0, 5))]
+        rows.append((k - 75 if k % 2 else big + k, "\n".join([*own, text(r, 9, 50000), " ", *r.sample(base, 1)]), k))
+    rows += [rows[3], (rows[4][0], "another text under the same id", 1), (None, base[0], 2), (5000, None, 3), (5001, "\n \n", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place long")
+    docs = df.selectExpr("doc_id AS id", "xxhash64(text) AS t", "text", "place")
+    got = {(x.id, x.t, g.p): g.keep for x in substring_dedup.clusters(Scratch(spark), docs, 80).collect() for g in x.gone}
+    lines = sorted({(x.id, x.t, p, n) for x in docs.collect() if x.id is not None and x.text for p, n in enumerate([y for y in x.text.split("\n") if y.strip()])})
+    top = components_of([(i, n) for i, (*_, n) in enumerate(lines)])
+    words = [n.lower().split() for *_, n in lines]
+    want, first = {}, {}
+    for i, (d, t, p, n) in enumerate(lines):  # in order, so the first of a component is its smallest
+        group = top[i][1] if shingle_set(n) else i
+        keep = first.setdefault(group, (d, t, p))
+        if keep != (d, t, p):
+            want[(d, t, p)] = keep[0]
+    assert words and got == want
 
 
 def test_passages_are_found_and_clean_texts_left(spark):
