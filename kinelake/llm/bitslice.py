@@ -15,8 +15,8 @@ from kinelake.llm.common import Scratch, ship
 
 ship(__name__)
 
-#: Most slices kept of an attribute; components beyond LARGE are scored without the index.
-SLICES, LARGE = 6, 1 << 27
+#: Most slices kept of an attribute; beyond LARGE the boundary's scores are added as integers of any size; components from HUGE on are no 64-bit integers.
+SLICES, LARGE, HUGE = 6, 1 << 27, 1 << 61
 
 
 class BitSlices:
@@ -82,7 +82,7 @@ class BitSlices:
                 left, value = x, value | 1 << i
             else:
                 need, left = need - c, left & ~sums[i]
-        slack = int(np.abs(q).sum()) * ((1 << self.shift) - 1)
+        slack = sum(map(abs, q.tolist())) * ((1 << self.shift) - 1)
         least = max(0, value - -(-slack // (1 << self.shift)))
         above, equal = np.zeros_like(self.valid), self.valid
         for i in reversed(range(len(sums))):
@@ -94,26 +94,40 @@ class BitSlices:
 
 
 def searcher(scale: float, k: int):
-    def exact(q, qv, x, xv):
-        qi, xi = np.floor(qv * scale), np.floor(xv * scale)
-        if max(np.abs(qi).max(), np.abs(xi).max()) > LARGE:
-            whole = [[int(v) for v in r] for r in xi]
+    def whole(x: np.ndarray) -> np.ndarray:
+        """floor(scale * x) as integers; such as are no 64-bit integers stay Python's."""
+        x = np.floor(x * scale)
+        return x.astype(np.int64) if not x.size or np.abs(x).max() < HUGE else np.array([[int(v) for v in r] for r in x], object)
+
+    def scores(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if x.dtype != object and r.dtype != object and max(np.abs(x).max(initial=0), np.abs(r).max(initial=0)) <= LARGE:
+            return x @ r
+        r = [int(v) for v in r]
+        return np.array([sum(int(a) * b for a, b in zip(y, r)) for y in x], object)
+
+    def search(x, xv):
+        xi = whole(xv)
+        index = BitSlices(xi) if xi.dtype != object else None
+
+        def find(q, qv):
+            qi = whole(qv)
             for a, r in zip(q, qi):
-                r = [int(v) for v in r]
-                s = [max(-(1 << 63), min((1 << 63) - 1, sum(map(int.__mul__, r, y)))) for y in whole]
-                own = sorted((-v, int(i)) for v, i in zip(s, x) if i != a)[:k]
-                yield int(a), [i for _, i in own], np.array([-v for v, _ in own], np.int64)
-            return
-        qi, xi = qi.astype(np.int64), xi.astype(np.int64)
-        index = BitSlices(xi)
-        for a, r in zip(q, qi):
-            at = index.boundary(r, k + int((x == a).sum()))  # the query's own rows take places too
-            at = at[x[at] != a]
-            s = xi[at] @ r
-            order = np.lexsort((x[at], -s))[:k]
-            yield int(a), x[at][order], s[order]
-
-    return exact
+                at = np.arange(len(x))
+                if index and qi.dtype != object:
+                    at = index.boundary(r, k + int((x == a).sum()))  # the query's own rows take places too
+                at = at[x[at] != a]
+                s = scores(xi[at], r)
+                if s.dtype == object:
+                    if any(abs(v) >> 63 for v in s) and len(at) < len(x):  # scores held at a long's ends are ties, which may lie beyond the boundary
+                        at = np.flatnonzero(x != a)
+                        s = scores(xi[at], r)
+                    s = np.array([max(-(1 << 63) + 1, min((1 << 63) - 1, int(v))) for v in s], np.int64)
+                order = np.lexsort((x[at], -s))[:k]
+                yield int(a), x[at][order], s[order]
+
+        return find
+
+    return search
 
 
 def top_k(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -121,6 +135,6 @@ def top_k(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 5,
 
     A query's own id is no candidate; ties go to the smaller id; fewer than k candidates give fewer rows. Vectors that are null or empty, or hold a null or
     non-finite component, and rows without id take no part; an empty table gives no rows; other columns are ignored. Rows that share an id are candidates
-    each. Scores beyond a long's range are held at its ends.
+    each, and repeated query ids are one query. Scores beyond a long's range are held at its ends, -(2**63 - 1) and 2**63 - 1, and tie there; components of 2**61 and more after scaling are scored without the index.
     """
     return searched(scratch, clean(vectors, id_col, vec_col), clean(queries, id_col, vec_col), searcher(scale, k), k, "long")

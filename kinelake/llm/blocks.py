@@ -1,4 +1,4 @@
-"""The block plan that vector searches share: numbered query blocks against index blocks, k best rows a query from each pair."""
+"""The block plan that vector searches share: every index block is built once, numbered query blocks are sent to it, and the k best rows a query are merged."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from kinelake.llm.common import Scratch, lean, ship
 
 ship(__name__)
 
-#: Rows of an index block and of a query block: both bound a task's memory.
-BLOCK_ROWS, QUERY_ROWS = 32768, 512
+#: Rows of an index block and of a query block, on average and at most: both bound a task's memory.
+BLOCK_ROWS, QUERY_ROWS = 8192, 512
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -33,55 +33,59 @@ def matrices(batch: pa.RecordBatch):
         yield int(d), ids[own], flat[at[own][:, None] + np.arange(d)]
 
 
-def blobs(rows: int):
-    """Rows (id, v) -> blocks (ids binary, vecs binary, d int) of about `rows` rows with vectors of one length."""
+def packed(batches):
+    """Rows (id, v) -> blocks (q binary, qv binary, d int) of at most QUERY_ROWS rows with vectors of one length."""
 
-    def run(batches):
-        held: dict[int, list] = {}
-
-        def flush(d):
-            ids, vecs = zip(*held.pop(d))
-            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).tobytes()], "vecs": [np.concatenate(vecs).astype(np.float64).tobytes()], "d": pa.array([d], pa.int32())})
-
-        for b in batches:
-            for d, ids, vecs in matrices(b):
-                held.setdefault(d, []).append((ids, vecs))
-                if sum(len(i) for i, _ in held[d]) >= rows:
-                    yield flush(d)
-        for d in list(held):
-            yield flush(d)
+    def blob(d, ids, vecs):
+        return pa.RecordBatch.from_pydict({"q": [ids.tobytes()], "qv": [vecs.astype(np.float64).tobytes()], "d": pa.array([d], pa.int32())})
 
-    return run
+    for b in batches:
+        for d, ids, vecs in matrices(b):
+            for i in range(0, len(ids), QUERY_ROWS):
+                yield blob(d, ids[i : i + QUERY_ROWS], vecs[i : i + QUERY_ROWS])
 
 
 def searched(scratch: Scratch, vectors: DataFrame, queries: DataFrame, search, k: int, score: str) -> DataFrame:
-    """search(query ids, query rows, ids, rows) -> (query ids, ids, scores) runs on every pair of blocks; the k best of each query are returned.
+    """search(ids, rows) -> find; find(query ids, query rows) -> (query id, ids, scores) a query. The k best rows of each query over all blocks are returned.
 
-    vectors, queries: (id, v); query ids that repeat are one query (its smallest vector). Queries are dealt by a hash of their id to numbered blocks of about
-    QUERY_ROWS; every index block is sent once to each number, so this is an equi-join of blocks: nothing is broadcast, and a task holds one block of either
-    side. A pair returns at most k rows a query, and only those reach the last shuffle. Vectors of another length than the query's take no part.
+    vectors, queries: (id, v); query ids that repeat are one query (its smallest vector). Rows are dealt by a hash of their id to numbered index blocks of about
+    BLOCK_ROWS, and the blocks of queries, the smaller side, go once to each number: one shuffle by number, nothing is broadcast. Rows arrive sorted, a block's vectors before its queries,
+    so a task holds one index block, builds its index once, and then one query block at a time. Rows that share an id are in one block. A block returns at most k rows a query, and only
+    those reach the last shuffle. Vectors of another length than the query's take no part.
     """
-    q = scratch.write(queries.groupBy("id").agg(F.min("v").alias("v")))
-    n = max(1, -(-q.count() // QUERY_ROWS))
-    pack = blobs(1 << 62)
-
-    def one(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
-        out = pa.Table.from_batches(pack(t.select(["id", "v"]).combine_chunks().to_batches()))
-        return out.append_column("part", pa.array([part] * len(out), pa.int32()))
-
-    qs = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("part").applyInArrow(one, "ids binary, vecs binary, d int, part int")
-    qs = qs.select(F.col("ids").alias("q"), F.col("vecs").alias("qv"), "d", "part")
-    ix = vectors.mapInArrow(lean(blobs(BLOCK_ROWS)), "ids binary, vecs binary, d int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    n = max(1, -(-vectors.count() // BLOCK_ROWS))
+    q = queries.groupBy("id").agg(F.min("v").alias("v"))
+    qs = scratch.write(q.mapInArrow(lean(packed), "q binary, qv binary, d int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ix = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    none = F.lit(None)
+    rows = ix.select("part", F.lit(0).alias("kind"), "id", "v", none.cast("binary").alias("q"), none.cast("binary").alias("qv"), none.cast("int").alias("d"))
+    rows = rows.union(qs.select("part", F.lit(1), none.cast("long"), none.cast("array<double>"), "q", "qv", "d")).repartition("part").sortWithinPartitions("part", "kind")
 
     def run(batches):
+        at, held, index = None, {}, {}
         for b in batches:
-            for i in range(len(b)):
-                d = b.column("d")[i].as_py()
-                q, qv, x, xv = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("q", np.int64), ("qv", np.float64), ("ids", np.int64), ("vecs", np.float64)))
-                for a, c, s in search(q, qv.reshape(-1, d), x, xv.reshape(-1, d)):
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(c), a), pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s)})
-
-    found = ix.join(qs, ["part", "d"]).mapInArrow(lean(run), f"query_id long, vec_id long, score {score}")
+            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])]))
+            for lo, hi in zip(edge, np.append(edge[1:], len(part))):
+                if part[lo] != at:
+                    at, held, index = part[lo], {}, {}
+                own = b.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    for d, ids, vecs in matrices(own):
+                        held.setdefault(d, []).append((ids, vecs))
+                    continue
+                for i in range(len(own)):
+                    d = own.column("d")[i].as_py()
+                    if d in held:
+                        ids, vecs = zip(*held.pop(d))
+                        index[d] = search(np.concatenate(ids), np.concatenate(vecs).astype(np.float64))
+                    if d not in index:
+                        continue
+                    q, qv = (np.frombuffer(own.column(c)[i].as_buffer(), t) for c, t in (("q", np.int64), ("qv", np.float64)))
+                    out = [(np.full(len(c), a), np.asarray(c, np.int64), np.asarray(s)) for a, c, s in index[d](q, qv.reshape(-1, d))]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+
+    found = rows.mapInArrow(lean(run), f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,11 +1,13 @@
 """License scans: a canonical digest of each entire text, hash-joined to the digests of known license texts; with DataFrame functions only.
 
-Canonical form: lower case; lines that start with a copyright statement go; every run of other characters than letters and digits becomes one blank;
+Canonical form: lines that start with a copyright statement go; lower case; every run of other characters than letters and digits becomes one blank;
 equivalent spellings become one. A line of a text is looked up in the same way, as license notices are single lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,19 +56,19 @@ Unless required by applicable law or agreed to in writing, software distributed
     *[(i, f"SPDX-License-Identifier: {i}") for i in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0")],
 ]
 DIGESTS: list[tuple[str, str]] = [
-    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
-    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
-    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
-    ("GFDL-1.3-only", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
     ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
-    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
-    ("GPL-3.0-only", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
-    ("LGPL-2.0-only", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
-    ("LGPL-2.1-only", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
-    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
 ]
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -74,19 +76,24 @@ SPELLINGS = [
     ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
     ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"),
     ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"),
-    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"), ("https", "http"),
+    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("wilfull", "willful"), ("https", "http"),
 ]
-COPYRIGHT = r"(?m)^[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright statement names a year, a sign or an owner; "copyright notice" and "COPYRIGHT HOLDERS" at the start of a wrapped line are none.
+COPYRIGHT = r"(?m)^[ \t\r*#/;-]*((?i:copyright)[ \t:]*(\([cC]\)|©|[0-9]{4}|<|\[)|(?i:copyright)[ \t]+by[ \t]|Copyright[ \t]+[A-Z][a-z]|\([cC]\)[ \t]*(?i:copyright|[0-9]{4})|©|(?i:all rights reserved))[^\n]*$"
+PHRASES = [("sub license", "sublicense"), ("sub licence", "sublicense"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement")]
 #: Every known text holds one of these in lower case; a text without any cannot be one.
 ANCHORS = ("licens", "licenc", "permission", "redistribut")
 # ---- end of fixed values ----
 
 
 def canonical(text: Column) -> Column:
-    low = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    low = F.lower(F.regexp_replace(text, COPYRIGHT, ""))
     word = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " ")
     same = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
-    return F.array_join(F.transform(word, lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
+    out = F.array_join(F.transform(word, lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
+    for a, b in PHRASES:
+        out = F.regexp_replace(out, rf"\b{a}", b)
+    return out
 
 
 def known(spark) -> DataFrame:
@@ -99,7 +106,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id column, license, notices): for each row, the license that the entire text is (null if none) and the licenses that lines of it name, in order, joined by commas.
 
     Every whole text is tested. A text that isn't a known license has a null license; null and empty texts too; notices are then empty. Rows that share an id are
-    looked up together (the least license; all their notices); a null id is an id of its own. Other columns are left out. The known digests are a fixed small table and are
+    looked up together (the least license; all their notices); a null id is an id of its own. A very long text is one row and is canonicalised whole; an empty table gives no rows; other columns are left out, whatever their names. The known digests are a fixed small table and are
     broadcast; only texts with an anchor word are canonicalised, and only their matches are aggregated.
     """
     spark = docs.sparkSession
@@ -118,7 +125,8 @@ def sql(documents: str = "documents") -> str:
     """The same over a table in DuckDB's SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     same = "MAP {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in SPELLINGS) + "}"
-    canon = lambda t: f"array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(lower({t}), {q(COPYRIGHT)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: coalesce({same}[w], w)), ' ')"
+    bare = lambda t: f"array_to_string(list_transform(string_split(trim(regexp_replace(lower(regexp_replace({t}, {q(COPYRIGHT)}, '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: coalesce({same}[w], w)), ' ')"
+    canon = lambda t: reduce(lambda x, p: f"regexp_replace({x}, '\\b{p[0]}', '{p[1]}', 'g')", PHRASES, bare(t))
     anchored = lambda t: "(" + " OR ".join(f"contains({t}, {q(a)})" for a in ANCHORS) + ")"
     texts = ", ".join(f"({q(i)}, {q(t)})" for i, t in TEXTS)
     digests = "".join(f" UNION SELECT {q(d)}, {q(i)}" for i, d in DIGESTS)

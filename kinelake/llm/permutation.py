@@ -16,7 +16,7 @@ from kinelake.llm.common import Scratch, ship
 ship(__name__)
 
 #: Pivots (the bounded sample that the index is fitted on), pivots kept in a vector's order, and the share of a block's rows that is reranked.
-PIVOTS, PREFIX, SHARE, LEAST = 256, 48, 0.2, 256
+PIVOTS, PREFIX, SHARE, LEAST = 256, 48, 0.2, 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -49,27 +49,30 @@ class PermutationIndex:
 
 
 def searcher(pivots: dict[int, np.ndarray], k: int, prefix: int, share: float, least: int):
-    def rerank(q, qv, x, xv):
+    def search(x, xv):
         own = pivots.get(xv.shape[1])
         index = PermutationIndex(xv, own, prefix) if own is not None else None
-        ux, uq = unit(xv), unit(qv)
-        most = max(least, int(np.ceil(share * len(x))))
-        for a, u, order in zip(q, uq, index.order(qv) if index else qv):
-            at = index.near(order, most + 1) if index else np.arange(len(x))
-            at = at[x[at] != a]
-            s = np.clip((ux[at] * u).sum(1), -1.0, 1.0)
-            best = np.lexsort((x[at], -s))[:k]
-            yield int(a), x[at][best], s[best]
+        ux, most = unit(xv), max(least, int(np.ceil(share * len(x))))
 
-    return rerank
+        def find(q, qv):
+            for a, u, order in zip(q, unit(qv), index.order(qv) if index else qv):
+                at = index.near(order, most + int((x == a).sum())) if index else np.arange(len(x))
+                at = at[x[at] != a]
+                s = np.clip((ux[at] * u).sum(1), -1.0, 1.0)
+                best = np.lexsort((x[at], -s))[:k]
+                yield int(a), x[at][best], s[best]
+
+        return find
+
+    return search
 
 
 def neighbours(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries`, the k rows of `vectors` found nearest by cosine, which is exact for every row returned.
 
     Every row is searched; the pivots are a sample of at most `pivots` rows of each of the 16 commonest vector lengths (the smallest hashes of their ids), and vectors of
-    other lengths are compared with all rows of their block. A query's
-    own id is no candidate; ties go to the smaller id; fewer than k candidates are all returned. Vectors that are null, empty, zero or hold a null or
+    other lengths are compared with all rows of their block. Blocks are of about 8192 rows, so of a small table `least` rows of a block are reranked at least. A query's
+    own id is no candidate; repeated query ids are one query; ties go to the smaller id; fewer than k candidates are all returned. Vectors that are null, empty, zero or hold a null or
     non-finite component, and rows without id take no part; an empty table gives no rows; other columns are ignored.
     """
     some = lambda df: clean(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0))

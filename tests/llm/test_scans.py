@@ -82,6 +82,24 @@ def test_line_windows_equal_brute_force(spark):
     assert sorted(map(str, (x.text for x in line_dedup.deduplicated(Scratch(spark), twice).collect()))) == ["", "", "a\nb\nc"]
 
 
+def test_wrapped_licenses_keep_their_digest(spark):
+    import textwrap
+
+    names, rows = {}, []
+    for name, t in licenses.TEXTS:
+        for width in range(30, 100, 7):
+            wrapped = "\n".join("\n".join(textwrap.wrap(x, width, break_long_words=False)) for x in t.split("\n"))
+            for head in ("", "Copyright (c) 2021-2024, Some One <one@example.org>\n\n", "/* Copyright 2019 Some One.\n * All rights reserved. */\n", "Copyright Some One\n", "\u00a9 2020 A. B.\n"):
+                names[len(rows)] = name
+                rows.append((len(rows), head + wrapped))
+    got = {r.doc_id: r.license for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == names
+    mit = licenses.TEXTS[0][1]
+    other = [mit.replace("sublicense", "sub-license").replace("COPYRIGHT HOLDERS", "copyright owners"), mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), mit.replace("Permission is", "Copyright notice. Permission is")]
+    got = [r.license for r in licenses.scanned(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["MIT", "MIT", None]
+
+
 def test_paragraph_clusters_equal_brute_force(spark):
     from conftest import edited, text
     from test_ngram_join import brute as components_of, shingle_set
