@@ -24,6 +24,8 @@ ship(__name__)
 #: Words of a run that is removed. Bands and minima of each: paragraphs of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS,
 #: which is 0.997 at 0.8, 0.66 at 0.5 and 0.06 at 0.2.
 RUN, BANDS, ROWS = 20, 8, 3
+#: Turns in which a signature's members that are left elect a pivot, before those that are still apart are compared with each other.
+TURNS = 4
 SEEDS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=U64)) | U64(1)
 STEPS = mix(np.arange(201, 221, dtype=U64)) | U64(1)
 #: Words of an anchor, and stretches of which one is an anchor: also the words that a match is extended by on either side, where the next anchor's match takes over.
@@ -113,36 +115,63 @@ def sets_of(docs: DataFrame, wanted) -> DataFrame:
     return docs.select("id", "t", "text").mapInArrow(lean(run), kind)
 
 
+def central(star: DataFrame) -> DataFrame:
+    """(sig, pivot, id) with the member as pivot that meets most others over all its signatures: of copies with changes of their own, one with few changes, which links with most others.
+
+    Signatures are counted, members' counts added up and the largest taken: aggregations that are pre-aggregated before their shuffles, and one row a member.
+    """
+    member = star.select("sig", "id").distinct()
+    met = member.join(member.groupBy("sig").agg(F.count("*").alias("c")), "sig").groupBy("id").agg(F.sum("c").alias("met"))
+    best = member.join(met, "id").groupBy("sig").agg(F.max(F.struct("met", "id")).alias("m"))
+    return member.join(best, "sig").select("sig", F.col("m.id").alias("pivot"), "id")
+
+
+def open_members(star: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, pivot, id, component, main): members of signatures that hold more than one component; main is the pivot's."""
+    member = star.join(found, "id")
+    main = F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")
+    held = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("sig", "main")
+    return member.join(held, "sig").select("sig", "pivot", "id", "component", "main")
+
+
 def clusters(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
     """(id, t, gone): of each text, the paragraphs (p: place) that equal, or are linked with, an earlier one, and the document that keeps it (keep)."""
     buckets = C.buckets_of(docs.sparkSession)
     index = scratch.write(banded(docs, buckets))
     line = index.where("d1 IS NOT NULL").select("d1", "d2", "doc", "t", "place")
-    star = scratch.write(C.stars(scratch, index))
+    star = scratch.write(central(scratch.write(C.stars(scratch, index))))
     scratch.release()
     pairs = scratch.write(star.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     wanted = ends(pairs)
     whole = scratch.write(sets_of(docs, C.filter_of(wanted)).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     scratch.release()
     node = whole.select("id", "n", F.col("n").alias("f"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), *SKETCHED)
-    # pairs that sketches rule out need no sets
     side = lambda k: node.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in SKETCHED])
     bound = F.least(F.col("na") - C.alone("a", "b"), F.col("nb") - C.alone("b", "a"))
-    bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
-    met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), whole.select("id", "hashes")))
-    scratch.release()
-    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
     every = node.select("id")
     copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
-    links = scratch.write(met.where(C.similar(percent)).select("a", "b").union(copies))
-    found = scratch.write(components(scratch, every, links))
+    links, far, found = scratch.write(copies), None, None
+    for turn in range(TURNS):
+        if turn:  # of members that the pivots left, one a signature is the next pivot: always one row a member
+            left = scratch.write(open_members(star, found))
+            lead = left.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")).alias("m")).select("sig", F.col("m.id").alias("next"), F.col("m.component").alias("own"))
+            star = scratch.write(left.join(lead, "sig").select("sig", F.col("next").alias("pivot"), "id", "component", "own"))
+            pairs = star.where("component <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+            star = star.select("sig", "pivot", "id")
+        # pairs that sketches rule out need no sets
+        bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
+        met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), whole.select("id", "hashes")))
+        more = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
+        far = more if far is None else far.union(more)
+        links = scratch.write(links.union(met.where(C.similar(percent)).select("a", "b")))
+        found = scratch.write(components(scratch, every, links))
+        scratch.release()
     rest = scratch.write(across(star, found, node, far, percent))
-    scratch.drop(star)
     scratch.release()
     if not rest.isEmpty():
         more = scratch.write(C.verified(rest, whole.select("id", "hashes")).where(C.similar(percent)).select("a", "b"))
         found = scratch.write(components(scratch, every, links.union(more)))
-    scratch.drop(whole, bounds, met)
+    scratch.drop(whole)
     linked = found.join(found.where("id <> component").select("component").distinct(), "component").select(F.col("id").alias("d1"), "component")
     first = line.groupBy("d1", "d2").agg(F.min(F.struct("doc", "t", "place")).alias("f"), F.count("*").alias("c")).join(linked, "d1", "left").where("c > 1 OR component IS NOT NULL")
     first = scratch.write(first)
