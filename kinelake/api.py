@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.operators import edits, results
-from kinelake.operators.edits import MOST_UNDO
+from kinelake.operators.edits import MOST_ROWS, MOST_UNDO
 from kinelake.operators.gates import PRESETS
 
 #: Sort orders by name; unknown values come last, ties go by id.
@@ -38,9 +38,13 @@ class Session:
 
     rows: DataFrame
     log: list[tuple[int, int, str, str]] = field(default_factory=list)
+    undoable: int = 0
 
     def _edit(self, result: int, action: str, value: str) -> None:
+        if len(self.log) >= MOST_ROWS:
+            raise ValueError("the edit log is full: export and start anew")
         self.log.append((len(self.log), result, action, value))
+        self.undoable = min(MOST_UNDO, self.undoable + 1)
 
     def set_classification(self, result: int, name: str) -> None:
         checked({"name": name}, {"name": (str, lambda v: 0 < len(v) <= 64)})
@@ -55,23 +59,22 @@ class Session:
         self._edit(result, "range", f"{float(start)}:{float(end)}")
 
     def reset_clip_range(self, result: int) -> None:
-        self.log = [e for e in self.log if (e[1], e[2]) != (result, "range")]
+        """An edit as others, so it can be taken back."""
+        self._edit(result, "range", "")
 
     def undo(self) -> bool:
-        """Takes back the last edit, of at most MOST_UNDO that are kept to undo."""
-        if not self.log or len(self.log) <= self._fixed():
+        """Takes back the last edit; of a row of edits the last MOST_UNDO can be taken back."""
+        if not self.undoable:
             return False
         self.log.pop()
+        self.undoable -= 1
         return True
 
-    def _fixed(self) -> int:
-        return max(0, len(self.log) - MOST_UNDO)
-
     def current(self) -> DataFrame:
         spark = self.rows.sparkSession
         log = spark.createDataFrame(self.log, "seq long, id long, action string, value string")
         x = edits.overlaid(self.rows, edits.in_force(log), ["class", "review", "range"])
-        at = lambda i: F.split("edit_range", ":")[i].cast("double")
+        at = lambda i: F.try_element_at(F.split(F.nullif("edit_range", F.lit("")), ":"), F.lit(i + 1)).cast("double")
         return (
             x.withColumn("class", F.coalesce("edit_class", "class")).withColumn("review", F.coalesce("edit_review", F.lit("unreviewed")))
             .withColumn("start", F.coalesce(at(0), "start")).withColumn("end", F.coalesce(at(1), "end")).drop("edit_class", "edit_review", "edit_range")
@@ -100,3 +103,16 @@ class Session:
         rank = F.array_position(F.array(*[F.lit(c) for c in by_class]), F.col("class")) if by_class else F.lit(0)
         x = x.orderBy(F.when(rank == 0, len(by_class) + 1).otherwise(rank), *ORDERS[order](), F.asc("id"))
         x.write.mode("overwrite").options(**({"header": True, "quote": '"', "escape": '"'} if fmt == "csv" else {})).format(fmt).save(path)
+
+    def run(self, tag: str, work):
+        """work(self) under a tag, so that another thread can end its jobs with interrupt(tag)."""
+        spark = self.rows.sparkSession
+        spark.addTag(tag)
+        try:
+            return work(self)
+        finally:
+            spark.removeTag(tag)
+
+    def interrupt(self, tag: str) -> list[str]:
+        """Ends the jobs that run under a tag."""
+        return self.rows.sparkSession.interruptTag(tag)

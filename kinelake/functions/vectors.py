@@ -70,3 +70,13 @@ def lower_quartile(v: Column) -> Column:
 def median_deviation(v: Column) -> Column:
     m = upper_median(v)
     return upper_median(F.transform(v, lambda x: F.abs(x - m)))
+
+
+def pose_distance(a: Column, b: Column, sure_a: Column, sure_b: Column, least: float = 0.5, joints: int = 5) -> Column:
+    """Mean distance of joints (x, y in turn) weighted by the lesser evidence of the two, over joints with `least` of it in both; null if fewer than `joints` are."""
+    q = F.zip_with(sure_a, sure_b, lambda x, y: F.least(x, y))
+    at = lambda v, i: F.element_at(v, i)
+    parts = F.transform(q, lambda w, i: F.struct(w.alias("w"), F.hypot(at(a, 2 * i + 1) - at(b, 2 * i + 1), at(a, 2 * i + 2) - at(b, 2 * i + 2)).alias("d")))
+    good = F.filter(parts, lambda s: s.w >= least)
+    total = lambda f: F.aggregate(good, F.lit(0.0), f)
+    return F.when(F.size(good) >= joints, total(lambda s, x: s + x.w * x.d) / total(lambda s, x: s + x.w))

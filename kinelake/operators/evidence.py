@@ -44,6 +44,13 @@ def classification_metrics(rows: DataFrame, truth: Column, guess: Column) -> Dat
     return s.withColumn("precision", F.coalesce(p, F.lit(0.0))).withColumn("recall", F.coalesce(r, F.lit(0.0))).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def macro_metrics(by_class: DataFrame, rows: DataFrame, guess: Column) -> DataFrame:
+    """(classes, macro_f1, unclassified): the mean F1 over the classes that occur in truth, and the share of rows without a guess. One row."""
+    f = by_class.where(F.col("tp") + F.col("fn") > 0).agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1"))
+    u = rows.agg(F.coalesce(F.count_if(guess.isNull()) / F.count("*"), F.lit(0.0)).alias("unclassified"))
+    return f.crossJoin(F.broadcast(u))  # one row each
+
+
 def retrieval_metrics(ranked: DataFrame, positives: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """(query_id, recall_k..., reciprocal_rank, first_rank): ranked (query_id, rank, item), positives (query_id, item)."""
     hits = ranked.join(positives, ["query_id", "item"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"), *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks])

@@ -10,9 +10,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b). Labels spread by min-aggregation with pointer jumping; each round is checkpointed."""
     spark = nodes.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinelake-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/kinelake-checkpoints")  # shared, unlike a local temporary folder
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).checkpoint()
     while True:

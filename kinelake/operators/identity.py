@@ -16,16 +16,32 @@ def owned(rows: DataFrame, item: list[str], owner: str, residual: str, margin: f
 
 
 def consensus(pairs: DataFrame, key: list[str], left: str, right: str, score: str, same: float, different: float, support: float = 2 / 3, least: int = 3) -> DataFrame:
-    """(key, verdict, score) from all sample pairs of two people: `same` if enough samples of either side find a partner at `same` or more, on both sides, `different` if the
-    best of all is no more than `different`; score is the upper median of the samples' own upper medians."""
-    a = pairs.groupBy(*key, left).agg(F.max(score).alias("best"), V.upper_median(F.collect_list(score)).alias("mid"))
-    b = pairs.groupBy(*key, right).agg(F.max(score).alias("best"))
-    share = lambda df: df.groupBy(*key).agg(F.count("*").alias("n"), (F.count_if(F.col("best") >= same) / F.count("*")).alias("share"))
-    l, r = share(a), share(b)  # noqa: E741
-    mid = a.groupBy(*key).agg(V.upper_median(F.collect_list("mid")).alias("score"), F.max("best").alias("top"))
-    x = l.join(r.select(*key, F.col("n").alias("m"), F.col("share").alias("back")), key).join(mid, key)
-    verdict = F.when((F.col("n") >= least) & (F.col("m") >= least) & (F.col("share") >= support) & (F.col("back") >= support), "same").when(F.col("top") <= different, "different").otherwise("unknown")
-    return x.select(*key, verdict.alias("verdict"), "score")
+    """(key, verdict, score) from all sample pairs of two people (their samples thinned before, so that those of one moment count once).
+
+    A sample is supported if, of `least` usable partners or more, two and `support` of them reach `same`; it contradicts if the best of so many is no more than `different`.
+    One contradiction on either side gives `different`; else `least` supported samples and `support` of all on both sides give `same` and the mean of the supported samples'
+    interpolated medians. Everything else is unknown and has no score. Each side is one aggregation a sample and one a pair of people.
+    """
+
+    def side(own: str, n: str, good: str, bad: str) -> DataFrame:
+        one = pairs.groupBy(*key, own).agg(F.count(score).alias("n"), F.count_if(F.col(score) >= same).alias("p"), F.max(score).alias("best"), F.percentile(score, 0.5).alias("mid"))
+        backed = (F.col("n") >= least) & (F.col("p") >= 2) & (F.col("p") >= support * F.col("n") - 1e-9)
+        return one.groupBy(*key).agg(
+            F.count("*").alias(n), F.count_if(backed).alias(good), F.max((F.col("n") >= least) & (F.col("best") <= different)).alias(bad), F.sum(F.when(backed, F.col("mid"))).alias(f"{n}_sum")
+        )
+
+    x = side(left, "n", "good", "bad").join(side(right, "m", "back", "wrong"), key)
+    enough = (F.col("n") >= least) & (F.col("m") >= least)
+    both = (F.least("good", "back") >= least) & (F.col("good") >= support * F.col("n") - 1e-9) & (F.col("back") >= support * F.col("m") - 1e-9)
+    verdict = F.when(enough & (F.col("bad") | F.col("wrong")), "different").when(enough & both, "same").otherwise("unknown")
+    mean = (F.col("n_sum") + F.col("m_sum")) / (F.col("good") + F.col("back"))
+    return x.select(*key, verdict.alias("verdict"), F.when(verdict == "same", mean).alias("score"))
+
+
+def independent_samples(samples: DataFrame, key: list[str], time: str, bucket: float = 0.1) -> DataFrame:
+    """One sample (the earliest) of each stretch of `bucket` seconds of a key, so that repeated frames of one moment aren't independent evidence."""
+    w = Window.partitionBy(*key, F.floor(F.col(time) / bucket)).orderBy(time)
+    return samples.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def yaw_summary(samples: DataFrame, key: list[str], start: Column, end: Column, coverage: float = 0.6, expected: int = 4) -> DataFrame:

@@ -53,18 +53,29 @@ def _median(x) -> float:
     return x[len(x) // 2] if x else 0.0
 
 
-def hard_cuts(delta: np.ndarray, threshold: float, spacing: int = 8) -> list[int]:
-    """Positions of cuts: a change above the threshold, three times the past five's upper median (which starts anew at each cut) and the next three's, and 1.5 times
-    the change before; at least `spacing` frames apart."""
-    out, past = [], []
-    for i, d in enumerate(delta):
-        after = delta[i + 1 : i + 4]
-        sharp = d >= threshold and d >= 3 * _median(past[-5:]) and d >= 3 * _median(after) and (not past or d >= 1.5 * past[-1])
-        if sharp and (not out or i - out[-1] >= spacing):
+def hard_cuts(delta: np.ndarray, threshold: float, spacing: int = 8, multiplier: float = 3.0) -> list[int]:
+    """Positions of cuts, at least `spacing` frames apart. delta[i] is the change from frame i - 1; delta[0] is none.
+
+    A change at the threshold is a cut if it stands out: no past yet, `multiplier` times the median of the last five changes since the last cut, or times the next three's and 1.5 times
+    the change before (a cut from a moving shot into a quiet one), or twice the threshold and beyond both medians by their spread (a cut between two moving shots). A change at
+    half the threshold is one if it stands out against both sides (a cut between alike pictures).
+    """
+    spread = lambda x, mid: _median([abs(v - mid) for v in x])
+    out, past, since = [], [], spacing
+    for i in range(1, len(delta)):
+        d, after = delta[i], delta[i + 1 : i + 4]
+        before, ahead = (_median(past) if past else d), _median(after)
+        jump = i <= 1 or d >= 1.5 * delta[i - 1]
+        outlier = len(after) >= 2 and d >= multiplier * ahead and jump
+        noise = max(0.25 * threshold, spread(past, before), spread(after, ahead))
+        steady = multiplier > 0 and len(past) >= 3 and len(after) >= 2 and d >= 2 * threshold and d >= max(before, ahead) + multiplier * noise and d >= 1.5 * delta[i - 1]
+        stands_out = multiplier == 0 or not (past or out) or d >= multiplier * before or outlier or steady
+        alike = bool(past) and outlier and d >= multiplier * before and d >= 0.5 * threshold
+        if stands_out and (d >= threshold or alike) and since >= spacing:
             out.append(i)
-            past = []
+            past, since = [], 1
         else:
-            past.append(d)
+            past, since = [*past[-4:], d], since + 1
     return out
 
 

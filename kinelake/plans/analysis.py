@@ -54,6 +54,15 @@ def confusion_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("class", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
+@query("WITH {timeline}, " + _TRUTH + """, k AS (SELECT DISTINCT t AS class FROM x), m AS (SELECT class, count(*) FILTER (WHERE t = class AND g = class) AS tp, count(*) FILTER (WHERE t <> class AND g = class) AS fp, count(*) FILTER (WHERE t = class AND g IS DISTINCT FROM class) AS fn FROM k, x GROUP BY class),
+    p AS (SELECT coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM m) SELECT count(*) AS classes, round(avg(f1), 6) AS macro_f1, round((SELECT count(*) FILTER (WHERE g IS NULL) / count(*) FROM x), 6) AS unclassified FROM p""")
+def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guess = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, "view").otherwise(F.col("kind"))
+    x = timeline(spark, sf_dir)
+    m = evidence.macro_metrics(evidence.classification_metrics(x, F.col("kind"), guess), x, guess)
+    return m.select("classes", r6(F.col("macro_f1"), "macro_f1"), r6(F.col("unclassified"), "unclassified"))
+
+
 @query("""WITH x AS (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part), m AS (SELECT *, greatest(r, g, b)::DOUBLE AS hi, greatest(r, g, b)::DOUBLE - least(r, g, b) AS d FROM x)
     SELECT p_partkey, round(CASE WHEN d = 0 THEN 0 WHEN hi = r THEN ((g - b) / d) - 6 * floor(((g - b) / d) / 6) WHEN hi = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END / 6, 6) + 0.0 AS h, round(CASE WHEN hi = 0 THEN 0 ELSE d / hi * 255 END, 6) AS s, hi AS v FROM m""")
 def hsv_convert(spark: SparkSession, sf_dir: str) -> DataFrame:

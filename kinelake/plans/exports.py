@@ -62,18 +62,18 @@ def cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_R}, n AS (SELECT id, floor(start * 1000 * 24 + 0.5)::BIGINT AS a, floor(start * 1000 * 29.97 + 0.5)::BIGINT AS d FROM r), q AS (SELECT *, d // 17982 AS tens, d % 17982 AS rest FROM n),
     f AS (SELECT id, a, d + tens * 18 + CASE WHEN rest >= 2 THEN (rest - 2) // 1798 * 2 ELSE 0 END AS d FROM q)
-    SELECT id, format('{{:02d}}:{{:02d}}:{{:02d}}:{{:02d}}', a // 86400 % 24, a // 1440 % 60, a // 24 % 60, a % 24) AS plain, format('{{:02d}}:{{:02d}}:{{:02d}};{{:02d}}', d // 108000 % 24, d // 1800 % 60, d // 30 % 60, d % 30) AS dropped FROM f""")
+    SELECT id, format('{{:02d}}:{{:02d}}:{{:02d}}:{{:02d}}', a // 86400, a // 1440 % 60, a // 24 % 60, a % 24) AS plain, format('{{:02d}}:{{:02d}}:{{:02d}}:{{:02d}}', d // 108000, d // 1800 % 60, d // 30 % 60, d % 30) AS dropped FROM f""")
 def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timecodes at 24 frames and with drop-frame at 29.97."""
     s = F.col("start") * 1000
     return rows(spark, sf_dir).select("id", timecode(s, 24.0, False).alias("plain"), timecode(s, 29.97, True).alias("dropped"))
 
 
-@query("""WITH f AS (SELECT p_partkey, (CASE p_partkey % 6 WHEN 0 THEN 23.976 WHEN 1 THEN 25.0 WHEN 2 THEN 29.97 WHEN 3 THEN 59.94 WHEN 4 THEN 12.5 ELSE 48.0 END)::DOUBLE AS fps FROM part)
-    SELECT p_partkey, CASE WHEN fps = 23.976 THEN '1001/24000s' WHEN fps = 29.97 THEN '1001/30000s' WHEN fps = 59.94 THEN '1001/60000s' ELSE (1000 // gcd((fps * 1000)::BIGINT, 1000)) || '/' || ((fps * 1000)::BIGINT // gcd((fps * 1000)::BIGINT, 1000)) || 's' END AS duration FROM f""")
+@query("""WITH f AS (SELECT p_partkey, (CASE p_partkey % 6 WHEN 0 THEN 23.976 WHEN 1 THEN 25.0 WHEN 2 THEN 29.97 WHEN 3 THEN 59.94 WHEN 4 THEN 12.3456789 ELSE CASE WHEN p_partkey % 4 = 1 THEN -1 ELSE 48.0 END END)::DOUBLE AS fps FROM part)
+    SELECT p_partkey, CASE WHEN fps = 23.976 THEN '1001/24000s' WHEN fps = 29.97 THEN '1001/30000s' WHEN fps = 59.94 THEN '1001/60000s' WHEN fps <= 0 THEN '1/1s' ELSE (1000000 // gcd(round(fps * 1000000)::BIGINT, 1000000)) || '/' || (round(fps * 1000000)::BIGINT // gcd(round(fps * 1000000)::BIGINT, 1000000)) || 's' END AS duration FROM f""")
 def frame_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 6
-    fps = F.when(k == 0, 23.976).when(k == 1, 25.0).when(k == 2, 29.97).when(k == 3, 59.94).when(k == 4, 12.5).otherwise(48.0)
+    fps = F.when(k == 0, 23.976).when(k == 1, 25.0).when(k == 2, 29.97).when(k == 3, 59.94).when(k == 4, 12.3456789).otherwise(F.when(F.col("p_partkey") % 4 == 1, -1.0).otherwise(48.0))
     return table(spark, sf_dir, "part").select("p_partkey", frame_duration(fps).alias("duration"))
 
 

@@ -20,15 +20,17 @@ def unique_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_ALL}, p AS (SELECT si AS a, sj AS b, i AS l, j AS r, score FROM s WHERE si < sj),
-    x AS (SELECT a, b, l, max(score) AS best, list_sort(list(score))[count(*) // 2 + 1] AS mid FROM p GROUP BY 1, 2, 3), y AS (SELECT a, b, r, max(score) AS best FROM p GROUP BY 1, 2, 3),
-    u AS (SELECT a, b, count(*) AS n, count(*) FILTER (WHERE best >= 0.3) / count(*) AS f, list_sort(list(mid))[count(*) // 2 + 1] AS score, max(best) AS top FROM x GROUP BY 1, 2),
-    v2 AS (SELECT a, b, count(*) AS m, count(*) FILTER (WHERE best >= 0.3) / count(*) AS g FROM y GROUP BY 1, 2)
-    SELECT a, b, CASE WHEN n >= 3 AND m >= 3 AND f >= 0.5 AND g >= 0.5 THEN 'same' WHEN top <= 0.25 THEN 'different' ELSE 'unknown' END AS verdict, round(score, 6) + 0.0 AS score FROM u JOIN v2 USING (a, b)""")
+    l AS (SELECT a, b, count(*) AS n, count(*) FILTER (WHERE ok) AS g, bool_or(bad) AS bad, sum(mid) FILTER (WHERE ok) AS t FROM (SELECT a, b, l, median(score) AS mid, max(score) <= 0.1 AND count(*) >= 3 AS bad,
+        count(*) >= 3 AND count(*) FILTER (WHERE score >= 0.05) >= greatest(2, 0.25 * count(*) - 1e-9) AS ok FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    r AS (SELECT a, b, count(*) AS m, count(*) FILTER (WHERE ok) AS h, bool_or(bad) AS bad2, sum(mid) FILTER (WHERE ok) AS t2 FROM (SELECT a, b, r, median(score) AS mid, max(score) <= 0.1 AND count(*) >= 3 AS bad,
+        count(*) >= 3 AND count(*) FILTER (WHERE score >= 0.05) >= greatest(2, 0.25 * count(*) - 1e-9) AS ok FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    d AS (SELECT *, CASE WHEN n >= 3 AND m >= 3 AND (bad OR bad2) THEN 'different' WHEN least(g, h) >= 3 AND g >= 0.25 * n AND h >= 0.25 * m THEN 'same' ELSE 'unknown' END AS verdict FROM l JOIN r USING (a, b))
+    SELECT a, b, verdict, round(CASE WHEN verdict = 'same' THEN (t + t2) / (g + h) END, 6) + 0.0 AS score FROM d""")
 def face_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two groups of face samples are one person, by support in both directions."""
     v = vectors(spark, sf_dir).select("id", "shot")
     s = similarity.pairs_above(vectors(spark, sf_dir), -1.0).join(v.select(F.col("id").alias("i"), F.col("shot").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("shot").alias("b")), "j").where("a < b")
-    return identity.consensus(s, ["a", "b"], "i", "j", "score", 0.3, 0.25, 0.5).select("a", "b", "verdict", r6(F.col("score"), "score"))
+    return identity.consensus(s, ["a", "b"], "i", "j", "score", 0.05, 0.1, 0.25).select("a", "b", "verdict", r6(F.col("score"), "score"))
 
 
 @query("""WITH {timeline}, s AS (SELECT source, floor(t / 604800)::BIGINT AS wk, floor(t / 3600)::BIGINT * 3600.0 AS t, round(v) AS yaw FROM timeline), c AS (SELECT source, wk, t, min(yaw) AS lo, max(yaw) AS hi FROM s GROUP BY 1, 2, 3 HAVING min(yaw) = max(yaw)),

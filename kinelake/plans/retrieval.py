@@ -142,13 +142,14 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("query_id", *[r6(F.col(c), c) for c in ("recall_1", "recall_3", "recall_10", "reciprocal_rank")])
 
 
-@query(f"""{_ALL}, t AS (SELECT i AS query_id, j AS item, row_number() OVER (PARTITION BY i ORDER BY round(score, 9) DESC, j) AS rank FROM s),
+@query(f"""{_ALL}, b AS (SELECT i AS query_id, j AS item, score FROM s UNION ALL SELECT j, i, score FROM s), t AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM b),
     k AS (SELECT query_id, CASE WHEN (query_id + item) % 3 = 0 THEN NULL ELSE (query_id * item) % 2 = 0 END AS good FROM t WHERE rank <= 10)
     SELECT query_id, round(count(*) FILTER (WHERE good) / count(*), 6) AS low, round(count(*) FILTER (WHERE coalesce(good, true)) / count(*), 6) AS high FROM k GROUP BY query_id""")
 def precision_at_10_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = similarity.pairs_above(vectors(spark, sf_dir), -1.0)
-    r = s.select(F.col("i").alias("query_id"), F.col("j").alias("item"), F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("score", 9)), "j")).alias("rank"))
-    judged = s.where((F.col("i") + F.col("j")) % 3 != 0).select(F.col("i").alias("query_id"), F.col("j").alias("item"), ((F.col("i") * F.col("j")) % 2 == 0).alias("good"))
+    both = s.select(F.col("i").alias("query_id"), F.col("j").alias("item"), "score").union(s.select("j", "i", "score"))
+    r = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))).where("rank <= 10").select("query_id", "item", "rank")
+    judged = r.where((F.col("query_id") + F.col("item")) % 3 != 0).select("query_id", "item", ((F.col("query_id") * F.col("item")) % 2 == 0).alias("good"))
     return evidence.precision_bounds(r, judged, 10).select("query_id", r6(F.col("low"), "low"), r6(F.col("high"), "high"))
 
 

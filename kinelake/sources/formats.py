@@ -62,3 +62,15 @@ def latest_generation(spark: SparkSession, path: str, source_col: str) -> DataFr
     x = spark.read.parquet(path)
     top = x.groupBy(source_col).agg(F.max("generation").alias("generation"))
     return x.join(top, [source_col, "generation"], "left_semi")
+
+
+def text_result(number, score, verified, identity, seconds, left: dict, right: dict) -> list:
+    """Lines of one result in a plain text list: number and score, identity, active duration, and both sides (on, source, start, end)."""
+    own = lambda s: F.greatest(F.lit(0.0), s["end"] - s["start"])
+    active = F.when(left["on"] & right["on"], seconds).when(left["on"], own(left)).when(right["on"], own(right)).otherwise(0.0)
+    fixed = lambda x, n: F.format_string(f"%.{n}f", x.cast("double"))
+    side = lambda name, s: F.concat(F.lit(f"  {name}: "), F.when(s["on"], "").otherwise("[disabled] "), s["source"], F.lit("  "), fixed(s["start"], 3), F.lit("–"), fixed(s["end"], 3), F.lit(" s"))
+    return [
+        F.concat(F.lit("#"), number.cast("string"), F.lit("  "), fixed(score * 100, 1), F.lit("%")), F.concat(F.lit("  Identity: "), F.when(verified, "verified").otherwise("pose-only"), F.lit(" ("), fixed(identity, 3), F.lit(")")),
+        F.concat(F.lit("  Duration: "), fixed(active, 3), F.lit(" s")), side("A", left), side("B", right),
+    ]

@@ -26,12 +26,18 @@ TRACKS = "source long, event_id long, track long"
 STATE = "next long, tracks array<struct<track:long,x:double,y:double,t:double>>"
 
 
-def tracks(detections: DataFrame, timeout: float, reach: float) -> DataFrame:
+def tracks(detections: DataFrame, timeout: float, reach: float, idle: str = "1 hour") -> DataFrame:
     """Track numbers for a stream of detections (source, event_id, t, x, y): the nearest live track within `reach` takes a detection, each once a frame; tracks not
-    seen for `timeout` seconds retire. State is kept per source, so micro-batches carry on where the last one ended."""
+    seen for `timeout` seconds retire. State is kept per source, so micro-batches carry on where the last one ended; the state of a
+    source without detections for `idle` (by the clock) goes."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         nxt, held = state.get if state.exists else (0, [])
         live = {r["track"] if isinstance(r, dict) else r[0]: tuple(r.values() if isinstance(r, dict) else r)[1:] for r in held}
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"], kind="stable")
@@ -50,9 +56,10 @@ def tracks(detections: DataFrame, timeout: float, reach: float) -> DataFrame:
                 live[done[e]] = (float(x), float(y), float(t))
                 out.append((key[0], int(e), int(done[e])))
         state.update((int(nxt), [(int(k), *v) for k, v in live.items()]))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source", "event_id", "track"])
 
-    return detections.groupBy("source").applyInPandasWithState(step, TRACKS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return detections.groupBy("source").applyInPandasWithState(step, TRACKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def refreshed(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):

@@ -32,7 +32,8 @@ def test_edits_and_undo(session):
     assert session.undo() and ids(session.list_results(order="longest"))[0] == 3
     session.set_clip_range(3, 2.0, 2.5)
     session.reset_clip_range(3)
-    assert ids(session.list_results(order="longest"))[0] == 3 and session.status()["edits"] == 2
+    assert ids(session.list_results(order="longest"))[0] == 3 and session.status()["edits"] == 4
+    assert session.undo() and ids(session.list_results(order="shortest"))[0] == 3  # a reset is an edit too
     with pytest.raises(ValueError):
         session.set_review(1, "loved")
     with pytest.raises(ValueError):
@@ -44,3 +45,19 @@ def test_export(session, spark, tmp_path):
     session.export(str(tmp_path / "out"), "csv", by_class=["sit"])
     got = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert sorted(r.id for r in got.collect()) == ["1", "2", "4"]
+
+
+def test_only_the_last_edits_can_be_undone(session):
+    for i in range(20):
+        session.set_classification(1, f"c{i}")
+    assert [session.undo() for _ in range(17)] == [True] * 16 + [False] and session.list_classes()["c3"] == 1
+
+
+def test_functions_in_sql_and_tags(session, spark):
+    from kinelake.functions.registered import register
+
+    assert register(spark) == ["kl_cosine", "kl_timecode", "kl_upper_median"]
+    r = spark.sql("SELECT kl_cosine(array(1D, 0D), array(1D, 1D)) AS c, kl_cosine(array(0D), array(1D)) AS z, kl_timecode(90000.5D, 24D) AS t").first()
+    assert abs(r.c - 0.5**0.5) < 1e-12 and r.z is None and r.t == "25:00:00:12"
+    assert spark.sql("SELECT kl_upper_median(x) AS m FROM VALUES (1D), (4D), (2D), (3D) AS t(x)").first().m == 3.0
+    assert session.run("one", lambda s: s.rows.count()) == 4 and session.interrupt("none") == []

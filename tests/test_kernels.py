@@ -109,7 +109,18 @@ def test_hard_cuts_stand_out_and_keep_apart():
     d = np.ones(40)
     d[10], d[13], d[30] = 50, 50, 60
     assert scans.hard_cuts(d, 20) == [10, 30]
-    assert scans.hard_cuts(np.full(30, 50.0), 20) == []
+    assert scans.hard_cuts(np.full(30, 50.0), 20) == [1]  # the first change has no past to stand out from; steady motion after it is no cut
+
+
+def test_hard_cuts_beside_motion_and_between_alike_pictures():
+    quiet_after = np.array([0.0] + [30.0, 28.0, 31.0, 29.0, 30.0] * 3 + [60.0] + [1.0] * 10)
+    assert 16 in scans.hard_cuts(quiet_after, 27.0)  # twice the past only, but far above what follows
+    between = np.array([0.0] + [6.0, 7.0, 6.5, 7.5, 6.0, 7.0] * 2 + [70.0] + [25.0, 24.0, 26.0, 25.0] * 3)
+    assert 13 in scans.hard_cuts(between, 27.0)  # less than three times what follows
+    alike = np.array([0.0] + [1.0] * 12 + [15.0] + [1.0] * 12)
+    assert scans.hard_cuts(alike, 27.0) == [13] and scans.hard_cuts(np.where(alike == 15.0, 12.0, alike), 27.0) == []
+    slower = np.array([0.0] + [1.0] * 10 + [20.0, 22.0, 24.0, 26.0, 8.0, 2.0, 1.0, 1.0])
+    assert scans.hard_cuts(slower, 27.0) == []  # motion that slows down
 
 
 def test_fades_and_reversals():
@@ -149,3 +160,32 @@ def test_parameters_are_validated():
         gates.parameters(similarity=float("nan"))
     with pytest.raises(ValueError):
         gates.parameters(max_unique=0)
+
+
+def test_consensus_needs_repeated_support_in_both_directions(spark):
+    from kinelake.operators import identity
+
+    def verdict(rows):
+        df = spark.createDataFrame([("a", "b", i, j, float(x)) for i, line in enumerate(rows) for j, x in enumerate(line)], "a string, b string, i long, j long, score double")
+        r = identity.consensus(df, ["a", "b"], "i", "j", "score", 0.363, 0.25).first()
+        return r.verdict, r.score
+
+    assert verdict([[0.5, 0.6, 0.7, 0.8]] * 3) == ("same", pytest.approx((3 * 0.65 + 0.5 + 0.6 + 0.7 + 0.8) / 7))
+    assert verdict([[0.9, 0.3, 0.3]] * 3)[0] == "unknown"  # each sample has one good partner only
+    assert verdict([[0.9, 0.9, 0.9], [0.9, 0.9, 0.9], [0.1, 0.2, 0.25]]) == ("different", None)  # one sample contradicts
+    assert verdict([[0.9, 0.9]] * 3)[0] == "unknown"  # too few partners
+    t = spark.createDataFrame([("a", 0.01), ("a", 0.04), ("a", 0.12), ("b", 0.02)], "k string, t double")
+    assert sorted(map(tuple, identity.independent_samples(t, ["k"], "t").collect())) == [("a", 0.01), ("a", 0.12), ("b", 0.02)]
+
+
+def test_timecodes_and_durations_at_the_edges(spark):
+    from pyspark.sql import functions as F
+
+    from kinelake.functions.timecode import frame_duration, timecode
+
+    df = spark.createDataFrame([(0.0,), (59.999,), (60.0,), (600.0,), (90000.0,), (-3.0,)], "s double")
+    got = df.select(timecode(F.col("s"), 29.97, True).alias("a"), timecode(F.col("s"), 24.0, True).alias("b"), timecode(F.col("s"), 59.94, True).alias("c")).collect()
+    assert [r.a for r in got] == ["00:00:00:00", "00:00:59:28", "00:00:59:28", "00:10:00:00", "25:00:00:00", "00:00:00:00"]
+    assert [r.b for r in got][2:5] == ["00:01:00:00", "00:10:00:00", "25:00:00:00"] and got[3].c == "00:10:00:00"
+    rates = spark.createDataFrame([(23.976,), (25.0,), (12.3456789,), (0.0,), (float("nan"),), (float("inf"),), (None,)], "f double")
+    assert [r[0] for r in rates.select(frame_duration(F.col("f"))).collect()] == ["1001/24000s", "1/25s", "1000000/12345679s", "1/1s", "1/1s", "1/1s", "1/1s"]
