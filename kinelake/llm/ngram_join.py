@@ -35,8 +35,9 @@ def token_sets(col: pa.Array, k: int):
         yield lo, hi, *sets(*shingles(h, first, k))
 
 
-def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT):
-    """A filter that holds every token in more than `most` texts. Counts cover all texts: tokens are pre-aggregated in blocks, then counted per bucket."""
+def frequent_filter(docs: DataFrame, tokens, buckets: int, most: int = FREQUENT):
+    """A filter that holds every token in more than `most` rows of docs. tokens(batch) gives arrays of tokens, each token once a row. Counts cover all rows: tokens are
+    pre-aggregated in blocks, then counted per bucket."""
 
     def count(batches):
         held, n = [], 0
@@ -56,7 +57,7 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
             })
 
         for b in batches:
-            for _, _, h, _ in token_sets(b.column(0), k):
+            for h in tokens(b):
                 if len(h):
                     held.append(h)
                     n += len(h)
@@ -82,7 +83,7 @@ def frequent_filter(docs: DataFrame, buckets: int, k: int, most: int = FREQUENT)
         bits = [C.filled(U64(b) << U64(32) | often.astype(U64), buckets)] if len(often) else []
         return pa.table({"bucket": pa.array([b] * len(bits), pa.int32()), "keys": pa.array(bits, pa.binary())})
 
-    rows = docs.select("text").mapInArrow(lean(count), "bucket int, keys binary, at binary, size binary").groupBy("bucket").applyInArrow(total, "bucket int, keys binary").collect()
+    rows = docs.mapInArrow(lean(count), "bucket int, keys binary, at binary, size binary").groupBy("bucket").applyInArrow(total, "bucket int, keys binary").collect()
     return C.sent(docs.sparkSession, rows, buckets)
 
 
@@ -210,7 +211,7 @@ def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = C.buckets_of(spark)
-    often = frequent_filter(docs, buckets, k)
+    often = frequent_filter(docs.select("text"), lambda b: (h for _, _, h, _ in token_sets(b.column(0), k)), buckets)
     scratch.release()
     index = scratch.write(indexed(docs, often, buckets, k, percent))
     info = scratch.write(index.where("n IS NOT NULL").select("id", "n", "f", "d1", "d2", "bits", *SKETCHED))

@@ -10,6 +10,8 @@ passage of GRAM + WINDOW - 1 words (51) has an anchor that depends on nothing ou
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,16 +19,15 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import candidates as C
 from kinelake.llm.common import U64, Scratch, components, lean, mix, pieces, sets, shingles, ship, utf8, words
-from kinelake.llm.ngram_join import SKETCHED, across, ends
+from kinelake.llm.ngram_join import EVEN, SINGLE, SKETCHED, across, ends, frequent_filter
 
 ship(__name__)
 
 #: Words of a run that is removed. Bands and minima of each: paragraphs of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS,
 #: which is 0.997 at 0.8, 0.66 at 0.5 and 0.06 at 0.2.
 RUN, BANDS, ROWS = 20, 8, 3
-#: Turns in which a signature's members elect a pivot, before those that are still apart are compared with each other. More turns leave fewer to compare and take more disk;
-#: results don't depend on them.
-TURNS = 1
+#: Turns in which the members that are still apart meet another pivot each, before they are compared with each other: more leave fewer to compare. Results don't depend on them.
+TURNS = 2
 SEEDS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=U64)) | U64(1)
 STEPS = mix(np.arange(201, 221, dtype=U64)) | U64(1)
 #: Words of an anchor, and stretches of which one is an anchor: also the words that a match is extended by on either side, where the next anchor's match takes over.
@@ -87,7 +88,7 @@ def banded(docs: DataFrame, buckets: int) -> DataFrame:
                     sig = np.full(len(own), i, U64)
                     for seed in SEEDS[i * ROWS : (i + 1) * ROWS]:
                         sig = mix(sig + np.minimum.reduceat(s * seed, edge)[own])
-                    yield from signer.add(sig, node, np.zeros(len(own), np.uint16))
+                    yield from signer.add(sig | U64(1), node, np.zeros(len(own), np.uint16))
         yield from signer.flush()
 
     return docs.select("id", "t", "text").mapInArrow(lean(run), f"{C.ENTRIES}, {LINE}")
@@ -128,11 +129,87 @@ def central(star: DataFrame) -> DataFrame:
 
 
 def open_members(star: DataFrame, found: DataFrame) -> DataFrame:
-    """(sig, pivot, id, component, main): members of signatures that hold more than one component; main is the pivot's."""
+    """(sig, pivot, id, component): members of signatures that hold more than one component."""
     member = star.join(found, "id")
-    main = F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")
-    held = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("sig", "main")
-    return member.join(held, "sig").select("sig", "pivot", "id", "component", "main")
+    held = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return member.join(held, "sig", "left_semi").select("sig", "pivot", "id", "component")
+
+
+def rare_first(whole: DataFrame, often, percent: int, buckets: int) -> DataFrame:
+    """Blocks and local stars of the rare shingles (even signatures) among the first that nodes need, rare ones first, and a row (id, d1: number of frequent shingles) for each node.
+
+    Linked nodes of n shingles or more share `percent` of n at least, so the first shingle that they share, in the order of all, is not behind these of either.
+    """
+
+    def run(batches):
+        signer, known = C.Signer(buckets, NAMES), C.Filter(*often.value)
+        for b in batches:
+            ids, sigs, rows, f = np.asarray(b.column(0), np.int64), [], [], []
+            for i, x in enumerate(b.column(1)):
+                h = np.frombuffer(x.as_buffer(), U64)
+                rare = h[~known.test(h)]
+                f.append(len(h) - len(rare))
+                sigs.append(rare[: len(h) - -(-len(h) * percent // 100) + 1])
+                rows.append(np.full(len(sigs[-1]), ids[i]))
+            yield C.batch(NAMES, id=ids, d1=np.array(f, np.int64))
+            if sigs:
+                yield from signer.add(mix(np.concatenate(sigs) ^ SINGLE) & EVEN, np.concatenate(rows), np.zeros(sum(map(len, rows)), np.uint16))
+        yield from signer.flush()
+
+    return whole.select("id", "hashes").mapInArrow(lean(run), f"{C.ENTRIES}, {LINE}")
+
+
+def cleanest(star: DataFrame, size: DataFrame, found: DataFrame, apart: bool) -> DataFrame:
+    """star with another pivot: of each signature's members (apart: of those outside its pivot's component) the one with the largest share of frequent shingles, then the largest."""
+    member = star.join(found, "id").join(size.select("id", (F.col("f") / F.col("n")).alias("share"), "n"), "id")
+    if apart:
+        main = member.groupBy("sig").agg(F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main"))
+        member = member.join(main, "sig")
+        best = member.where("component <> main")
+    else:
+        best = member
+    best = best.groupBy("sig").agg(F.max(F.struct("share", "n", "id", "component")).alias("m")).select("sig", F.col("m.id").alias("pivot"), F.col("m.component").alias("own"))
+    return member.drop("pivot").join(best, "sig").select("sig", "pivot", "id", "component", "own")
+
+
+def left_open(scratch: Scratch, star: DataFrame, found: DataFrame, whole: DataFrame, node: DataFrame, far: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Candidate pairs (a, b) that share a signature and that the pivots left in different components.
+
+    Of the members that are still open, a shingle that more than FREQUENT of them hold is frequent, others are rare. Two members that share a rare shingle meet there, in a
+    group of FREQUENT at most. Others first meet new pivots, in TURNS turns: the cleanest member of each signature, which of copies with changes of their own links with
+    most; that is one row a member and turn. Two that share frequent shingles only can't share more than either has of them, which `across` asks of those that are still
+    apart, before its join: copies with changes of their own, however many, mostly have too few left.
+    """
+    star = scratch.write(open_members(star, found))
+    held = scratch.write(star.select("id", "component").distinct())
+    sets_ = scratch.write(whole.select("id", "hashes").join(held, "id", "left_semi"))
+    often = frequent_filter(sets_.select("hashes"), lambda b: (np.frombuffer(x.as_buffer(), U64) for x in b.column(0)), buckets)
+    index = scratch.write(rare_first(sets_, often, percent, buckets))
+    size = scratch.write(node.drop("f").join(index.where("d1 IS NOT NULL").select("id", F.col("d1").alias("f")), "id"))
+    side = lambda k: size.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", *SKETCHED)])
+    bound = F.least(F.col("na") - C.alone("a", "b"), F.col("nb") - C.alone("b", "a"))
+    star, out = star.select("sig", "pivot", "id"), []
+    for turn in range(TURNS):
+        led = scratch.write(cleanest(star, size, held, turn > 0))
+        star = led.select("sig", "pivot", "id")
+        pairs = led.where("component <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
+        met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), sets_))
+        far = far.union(met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most"))).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
+        links = met.where(C.similar(percent)).select("a", "b")
+        out.append(links)
+        of = lambda k, held=held: held.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+        ties = links.join(of("a"), "a").join(of("b"), "b").select("ca", "cb")
+        # those that link with a pivot take its component; that some stay apart that a chain of links joins costs comparisons only
+        top = ties.join(ties.select(F.col("ca").alias("cb")), "cb", "left_anti").groupBy(F.col("cb").alias("component")).agg(F.min("ca").alias("top"))
+        held = scratch.write(held.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+    rare = C.stars(scratch, index).join(held, "id").join(size.select("id", "n", *SKETCHED), "id").select("sig", "id", "component", "n", *SKETCHED).distinct()
+    x, y = (rare.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("id", "component", "n", *SKETCHED)]) for k in "12")
+    share = F.least(F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
+    near = share * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    out.append(x.join(y, "sig").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & near).select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    out.append(across(star, held, size, far, percent))
+    return reduce(DataFrame.union, out).distinct()
 
 
 def clusters(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
@@ -151,23 +228,14 @@ def clusters(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
     bound = F.least(F.col("na") - C.alone("a", "b"), F.col("nb") - C.alone("b", "a"))
     every = node.select("id")
     copies = node.groupBy("n", "d1", "d2").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").join(node, ["n", "d1", "d2"]).select("a", F.col("id").alias("b")).where("a <> b")
-    links, far, found = scratch.write(copies), None, None
-    for turn in range(TURNS):
-        if turn:  # of members that the pivots left, one a signature is the next pivot: always one row a member
-            left = scratch.write(open_members(star, found))
-            lead = left.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")).alias("m")).select("sig", F.col("m.id").alias("next"), F.col("m.component").alias("own"))
-            star = scratch.write(left.join(lead, "sig").select("sig", F.col("next").alias("pivot"), "id", "component", "own"))
-            pairs = star.where("component <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-            star = star.select("sig", "pivot", "id")
-        # pairs that sketches rule out need no sets
-        bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
-        met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), whole.select("id", "hashes")))
-        more = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
-        far = more if far is None else far.union(more)
-        links = scratch.write(links.union(met.where(C.similar(percent)).select("a", "b")))
-        found = scratch.write(components(scratch, every, links))
-        scratch.release()
-    rest = scratch.write(across(star, found, node, far, percent))
+    # pairs that sketches rule out need no sets
+    bounds = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", bound.alias("most")))
+    met = scratch.write(C.verified(bounds.where(C.similar(percent, "most")).select("a", "b"), whole.select("id", "hashes")))
+    far = met.select("a", "b", F.col("shared").alias("least"), F.col("shared").alias("most")).union(bounds.where(~C.similar(percent, "most")).select("a", "b", F.lit(0).cast("long"), "most"))
+    links = scratch.write(copies.union(met.where(C.similar(percent)).select("a", "b")))
+    found = scratch.write(components(scratch, every, links))
+    scratch.release()
+    rest = scratch.write(left_open(scratch, star, found, whole, node, far, percent, buckets))
     scratch.release()
     if not rest.isEmpty():
         more = scratch.write(C.verified(rest, whole.select("id", "hashes")).where(C.similar(percent)).select("a", "b"))

@@ -44,7 +44,7 @@ def test_components_equal_brute_force(spark, docs, corpus, percent):
 
 def test_frequent_class_does_not_change_results(spark, docs, corpus, monkeypatch):
     monkeypatch.setattr(candidates, "LOCAL", 3)
-    monkeypatch.setattr(ngram_join, "frequent_filter", lambda d, b, k, f=ngram_join.frequent_filter: f(d, b, k, most=2))
+    monkeypatch.setattr(ngram_join, "frequent_filter", lambda d, tokens, buckets, f=ngram_join.frequent_filter: f(d, tokens, buckets, most=2))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(Scratch(spark), docs).collect()}
     assert got == brute(corpus)
 

@@ -126,6 +126,45 @@ def test_paragraph_clusters_equal_brute_force(spark):
     assert words and got == want
 
 
+def test_members_left_open_equal_brute_force(spark):
+    import numpy as np
+    import pandas as pd
+    from kinelake.llm import candidates
+    from kinelake.llm.common import mix
+    from pyspark.sql import functions as F
+
+    r, sets = random.Random(31), []
+    for i in range(150):  # copies of one set with changes of their own; some tokens of the changes are shared by a few
+        own = [1000 * (i + 1) + j for j in range(r.randrange(0, 14))] + r.sample(range(200, 260), r.randrange(0, 12))
+        sets.append(set(range(100)) - set(r.sample(range(100), r.randrange(0, 14))) | set(own))
+    similar = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    hashes = [np.sort(mix(np.array(sorted(x), np.uint64))) for x in sets]
+    n = np.array([len(x) for x in sets])
+    cols = {"id": range(150), "hashes": [h.tobytes() for h in hashes], "n": n, **candidates.sketches(np.concatenate(hashes), n)}
+    whole = spark.createDataFrame(pd.DataFrame(cols))
+    node = whole.select("id", "n", F.col("n").alias("f"), F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), *substring_dedup.SKETCHED)
+    star = spark.createDataFrame([(7, 0, i) for i in range(150)], "sig long, pivot long, id long")
+    near = [i for i in range(150) if similar(sets[0], sets[i])]
+    found = spark.createDataFrame([(i, 0 if i in near else i) for i in range(150)], "id long, component long")
+    far = spark.createDataFrame([(0, i, len(sets[0] & sets[i]), len(sets[0] & sets[i])) for i in range(1, 150)], "a long, b long, least long, most long")
+    got = {(x.a, x.b) for x in substring_dedup.left_open(Scratch(spark), star, found, whole, node, far, 80, 256).collect()}
+    links = [(a, b) for a in range(150) for b in range(a + 1, 150) if similar(sets[a], sets[b])]
+    top = lambda pairs: reached(150, pairs)
+    assert all(0 <= a < 150 and 0 <= b < 150 and a != b for a, b in got) and len(got) < 600
+    assert top([(0, i) for i in near] + [x for x in got if similar(sets[x[0]], sets[x[1]])]) == top(links) != top([(0, i) for i in near])
+
+
+def reached(n, pairs):
+    """The smallest node reachable from each, by brute force."""
+    top = list(range(n))
+    for _ in range(n):
+        was = list(top)
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+        if was == top:
+            return top
+
+
 def test_passages_are_found_and_clean_texts_left(spark):
     from conftest import edited, text
 
