@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: each window starts with a seed document and is filled by the unused neighbours that a BM25 index returns for it.
 
-The index is sharded: every task cuts its stream of documents into shards of bounded size, indexes a shard's terms (its token ids) in an inverted file and
-packs the shard. Nothing is shuffled. Documents are cut where a window ends; the last window of a shard is split at powers of two, so nothing is padded.
+Document frequencies, lengths and their mean are counted over all documents. The index is sharded by content: documents are sorted by minima of hashes of their
+terms (token ids), so that documents with many terms in common meet wherever they lie in the input, and every task cuts its sorted range into shards of bounded size, indexes a
+shard's terms in an inverted file and packs the shard. Documents are cut where a window ends; the last window of a shard is split at powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinelake.llm.common import lean, pieces, ship, words
+from kinelake.llm.common import U64, Scratch, lean, mix, pieces, ship, words
 
 ship(__name__)
 
-#: Tokens of a window; documents and tokens of a shard; terms of a query; BM25's constants.
-WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, K1, B = 2048, 1024, 1 << 22, 16, 1.2, 0.75
+#: Tokens of a window; documents and tokens of a shard; minima that documents are sorted by; BM25's constants.
+WINDOW, SHARD_DOCS, SHARD_TOKENS, MINIMA, K1, B = 2048, 1024, 1 << 22, 4, 1.2, 0.75
 #: Distinct words that a worker remembers (forgotten together when they become more), and slots of its hash table.
 REMEMBERED, SLOTS = 1 << 20, 1 << 22
 
@@ -174,53 +176,53 @@ class Encoder:
         return out
 
 
+def counted(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    v = np.sort(v, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    return v[first], np.diff(np.append(first, len(v)))
+
+
+def rarity(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's inverse document frequency of terms that df of n documents hold."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Shard:
-    """An inverted file over a shard's documents with BM25 weights; documents are numbered from 0."""
+    """An inverted file over a shard's documents with BM25 weights; documents are numbered from 0. idf and mean (of the lengths) are those of all documents."""
 
-    def __init__(self, ids: list[np.ndarray]):
-        n = len(ids)
-        narrow = np.uint16 if max(int(i.max()) for i in ids) < 1 << 16 else np.uint32  # NumPy sorts 16 bits by radix
-        terms = [self.counted(i.astype(narrow)) for i in ids]
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
+        terms = [counted(i) for i in ids]
         size = np.array([len(i) for i in ids], np.float64)
-        term = np.concatenate([t for t, _ in terms])
-        tf = np.concatenate([c for _, c in terms]).astype(np.float64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in terms])
+        term, tf = np.concatenate([t for t, _ in terms]), np.concatenate([c for _, c in terms])
+        own = np.array([len(t) for t, _ in terms])
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), own)
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, mean)))
         by = np.argsort(term, kind="stable")
-        _, df = self.counted(term[by], False)
-        first = np.cumsum(df) - df
-        tf, self.doc = tf[by], doc[by]
-        tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(1.0, size.mean())))
-        self.weight = (tf * np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)).astype(np.float32)
-        self.first, self.df, self.n = first, df, n
-        # each document's most telling terms: those of the largest weight that others share; positive floats are ordered as their bits
-        entry = np.repeat(np.arange(len(df)), df)
-        shared = np.flatnonzero(df[entry] > 1)
-        key = self.doc[shared].astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - self.weight[shared].view(np.uint32))
-        order = shared[np.argsort(key, kind="stable")]
-        edge = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.terms = [entry[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(edge[:-1], edge[1:])]
-
-    @staticmethod
-    def counted(v: np.ndarray, unsorted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        if unsorted:
-            v = np.sort(v, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        return v[first], np.diff(np.append(first, len(v)))
+        _, self.df = counted(term)
+        self.first = np.cumsum(self.df) - self.df
+        self.doc, self.weight, self.n = doc[by], weight[by], len(ids)
+        self.slot = np.empty(len(term), np.int64)
+        self.slot[by] = np.repeat(np.arange(len(self.df)), self.df)
+        self.edge = np.concatenate([[0], np.cumsum(own)])
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """Other documents with a positive score, best first, ties by number."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.terms[doc]:
-            a = self.first[t]
-            own = slice(a, a + self.df[t])
-            score[self.doc[own]] += self.weight[own]
+        """Other documents with a positive score for all of the document's terms, best first, ties by number."""
+        t = self.slot[self.edge[doc] : self.edge[doc + 1]]
+        t = t[self.df[t] > 1]
+        if not len(t):
+            return np.zeros(0, np.int64)
+        size = self.df[t]
+        end = np.cumsum(size)
+        at = np.repeat(self.first[t] - end + size, size) + np.arange(end[-1])
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
         score[doc] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of a shard; ids holds each document's tokens, none of them empty."""
+def pack(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of a shard; ids holds each document's tokens, the last of which is the end id and no term."""
     out, seq = [], 0
     start = [0] * len(ids)
     for d, i in enumerate(ids):
@@ -228,7 +230,7 @@ def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, in
             out.append((d, start[d], window, seq, 0))
             start[d], seq = start[d] + window, seq + 1
     left = np.array([len(i) - s for i, s in zip(ids, start)])
-    index = Shard(ids) if (left > 0).any() else None
+    index = Shard([i[:-1] for i in ids], idf, mean) if (left > 0).any() else None
     seeds = list(np.argsort(-left, kind="stable"))
     tail: list[tuple[int, int, int]] = []
     for at, seed in enumerate(seeds):
@@ -285,50 +287,118 @@ def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, in
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def encoded(docs: DataFrame, spec: str, end: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(key, row, a, b, n, ids, df) and the bound of the ids. A row for each document: its id, a number of its own, its sorting keys, its number of ids (the end id included), and them;
+    and a row for each task: the number of its documents that hold each id, the end ids left out."""
+    from tokenizers import Tokenizer
+
+    size = max(Tokenizer.from_str(spec).get_vocab(True).values(), default=0) + 1
+    size = max(size, end + 1)
+    kind, held, sent = "<u2" if size <= 1 << 16 else "<u4", [], docs.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches):
+        import os
+
+        from pyspark import TaskContext
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if not held:
+            held.append(Encoder(sent.value))
+        row, df = TaskContext.get().partitionId() << 40, np.zeros(size, np.int64)
+        lots = [(mix(np.arange(1, size + 1, dtype=U64) * U64(2 * j + 3)) >> U64(33)).astype(np.int64) for j in range(MINIMA)]
+        for batch in batches:
+            for lo in range(0, len(batch), 128):
+                part = batch.slice(lo, 128)
+                ids = [np.frombuffer(x, "<u4") for x in held[0](part.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist())]
+                own = [counted(i.astype(kind))[0] for i in ids]
+                n = np.array([len(t) for t in own])
+                term, full = np.concatenate(own), np.flatnonzero(n)
+                df += np.bincount(term, minlength=size)
+                low = np.zeros((MINIMA, len(n)), np.int64)
+                if len(full):
+                    first = (np.cumsum(n) - n)[full]
+                    for j, lot in enumerate(lots):
+                        low[j, full] = np.minimum.reduceat(lot[term], first)
+                blobs = [np.append(i, end).astype(kind).tobytes() for i in ids]
+                yield pa.RecordBatch.from_pydict({
+                    "key": part.column(0), "row": pa.array(np.arange(row, row + len(n))), "a": pa.array(low[0] << 31 | low[1]), "b": pa.array(low[2] << 31 | low[3]),
+                    "n": pa.array([len(i) + 1 for i in ids], pa.int64()), "ids": pa.array(blobs, pa.binary()), "df": pa.nulls(len(n), pa.binary()),
+                })
+                row, key = row + len(n), part.column(0).type
+        if df.any():
+            none = {c: pa.nulls(1, pa.int64()) for c in ("row", "a", "b", "n")}
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, key), **none, "ids": pa.nulls(1, pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+
+    key = dict(docs.select(id_col).dtypes)[id_col]
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"key {key}, row long, a long, b long, n long, ids binary, df binary"), size
+
+
+def frequencies(index: DataFrame, size: int) -> np.ndarray:
+    """The number of documents that hold each id; what reaches the driver is bounded by the vocabulary."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(x, np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["term", "c"])
+
+    out = np.zeros(size, np.int64)
+    for r in index.where("df IS NOT NULL").select("df").mapInArrow(run, "term int, c long").groupBy("term").agg(F.sum("c").alias("c")).collect():
+        out[r["term"]] = r["c"]
+    return out
+
+
 def packed(docs: DataFrame, spec: str, end: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the ids (of the tokenizer whose JSON is `spec`, without special tokens, then the id `end`) of all documents into sequences of at most `window`.
 
     Returns a row for each piece: the id column, start (ids of its document before it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit
     integers), doc_tokens, sequence_id (unique over all tasks) and offset in the sequence, gapless from 0. Each id lies in exactly one piece. Null and empty
     texts are the end id alone; repeated and null ids are documents of their own; other columns are ignored; an empty table gives no rows.
+
+    A seed's neighbours are all documents of its shard with a term in common. A shard is a run of `shard_docs` documents at most in the order of MINIMA minima of hashes of their sets of
+    terms: two documents agree in one with the probability of their sets' Jaccard similarity. Documents that differ in the first minima lie in different shards and do not meet.
+    Ties in that order go by a number that each document is given once, so a group of copies of any size is dealt over several tasks.
     """
-    held: list[Encoder] = []
+    index, size = encoded(docs, spec, end, id_col, text_col)
+    spark = docs.sparkSession
+    index = Scratch(spark).write(index)
+    df, kind = frequencies(index, size), "<u2" if size <= 1 << 16 else "<u4"
+    rows = index.where("row IS NOT NULL").select("key", "a", "b", "row", "n", "ids")
+    whole = rows.agg(F.count("*").alias("n"), F.sum(F.col("n") - 1).alias("tokens")).first()
+    sent = spark.sparkContext.broadcast((rarity(df, whole["n"]), (whole["tokens"] or 0) / max(1, whole["n"])))
+    names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if not held:
-            held.append(Encoder(spec))
-        base, stop = TaskContext.get().partitionId() << 34, np.array([end], "<u4").tobytes()
+        base, (idf, mean) = TaskContext.get().partitionId() << 34, sent.value
         keys, blobs, tokens = [], [], 0
 
         def flush():
             nonlocal base
-            rows = pack([np.frombuffer(b, "<u4") for b in blobs], window)
-            d = [r[0] for r in rows]
-            cols = [pa.array([keys[i] for i in d]), *(pa.array(x, pa.int64()) for x in zip(*((s, n, zlib.crc32(blobs[i][4 * s : 4 * (s + n)]), len(blobs[i]) // 4, base + q, o) for i, s, n, q, o in rows)))]
+            ids = [np.frombuffer(b, kind) for b in blobs]
+            rows = pack(ids, idf, mean, window)
+            crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
+            cols = [pa.array(x, pa.int64()) for x in zip(*((s, n, c, len(ids[d]), base + q, o) for (d, s, n, q, o), c in zip(rows, crc)))]
             base += max(r[3] for r in rows) + 1
-            return pa.RecordBatch.from_arrays([cols[0].cast(key_type), *cols[1:]], names)
+            return pa.RecordBatch.from_arrays([pa.array([keys[r[0]] for r in rows]).cast(key_type), *cols], names)
 
-        names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
-        key_type = None
         for b in batches:
             key_type = b.schema.field(0).type
             for lo in range(0, len(b), 128):
                 part = b.slice(lo, 128)
-                texts = part.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
-                for k, blob in zip(part.column(0).to_pylist(), held[0](texts)):
+                for k, blob, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     keys.append(k)
-                    blobs.append(blob + stop)
-                    tokens += len(blobs[-1]) // 4
+                    blobs.append(blob)
+                    tokens += n
                     if len(keys) >= shard_docs or tokens >= SHARD_TOKENS:
                         yield flush()
                         keys, blobs, tokens = [], [], 0
         if keys:
             yield flush()
 
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, {SCHEMA}")
+    order = ("a", "b", "row")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "ids", "n")
+    return dealt.mapInArrow(lean(run), f"`{id_col}` {dict(docs.select(id_col).dtypes)[id_col]}, {SCHEMA}")

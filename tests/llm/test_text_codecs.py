@@ -142,11 +142,37 @@ def test_packing_places_every_id_once(spark, docs, corpus, encoder):
     assert packing.packed(docs.limit(0), tokenizer_file("word_bpe_49k.json").decode()).collect() == []
 
 
-def test_neighbours_share_words():
+def test_neighbours_equal_plain_bm25():
+    from collections import Counter
+    from math import log1p
+
     import numpy as np
 
     r = np.random.RandomState(2)
     topic = [r.randint(2, 4000, 200) + 4000 * k for k in range(5)]
-    ids = [r.choice(topic[i % 5], 150) for i in range(50)]
-    index = packing.Shard(ids)
-    assert all(set(index.neighbours(i)[:5] % 5) == {i % 5} for i in range(50))
+    ids = [r.choice(topic[i % 5], r.randint(1, 200)) for i in range(50)] + [np.zeros(0, np.int64), np.array([7, 30000])]
+    ids.append(ids[3])
+    count = [Counter(i.tolist()) for i in ids]
+    df = Counter(t for c in count for t in c)
+    table = packing.rarity(np.bincount(list(df), list(df.values()), 40000), len(ids))
+    mean = sum(map(len, ids)) / len(ids)
+    index = packing.Shard(ids, table, mean)
+    for d, c in enumerate(count):
+        score = {}
+        for e, o in enumerate(count):
+            if e != d and c.keys() & o.keys():
+                score[e] = sum(log1p((len(ids) - df[t] + 0.5) / (df[t] + 0.5)) * o[t] * 2.2 / (o[t] + 1.2 * (0.25 + 0.75 * len(ids[e]) / mean)) for t in c if t in o)
+        got = index.neighbours(d).tolist()
+        assert set(got) == set(score)
+        assert all(score[x] >= score[y] - 1e-9 for x, y in zip(got, got[1:]))
+
+
+def test_copies_meet_from_anywhere(spark):
+    """Copies that lie 400 documents apart, with shards of 50, share their sequences, but for those of which one was used up as another seed's neighbour."""
+    r = random.Random(4)
+    text = [" ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('klmnp')}{r.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, text[i % 400]) for i in range(800)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    of = {}
+    for row in packing.packed(docs, tokenizer_file("word_bpe_49k.json").decode(), shard_docs=50).collect():
+        of.setdefault(row.doc_id, set()).add(row.sequence_id)
+    assert sum(bool(of[i] & of[i + 400]) for i in range(400)) >= 300
