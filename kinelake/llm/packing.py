@@ -7,6 +7,7 @@ shard's terms in an inverted file and packs the shard. Documents are cut where a
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -24,6 +25,14 @@ WINDOW, SHARD_DOCS, SHARD_TOKENS, MINIMA, K1, B = 2048, 1024, 1 << 22, 4, 1.2, 0
 REMEMBERED, SLOTS = 1 << 20, 1 << 22
 
 
+def keeper() -> dict:
+    """What a Python worker keeps from one task to the next (this module is shipped anew with each task). It holds one encoder at most, whose memory of words is bounded."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_kept_by_packing", types.ModuleType("_kept_by_packing")).__dict__.setdefault("kept", {})
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -196,26 +205,42 @@ class Shard:
         size = np.array([len(i) for i in ids], np.float64)
         term, tf = np.concatenate([t for t, _ in terms]), np.concatenate([c for _, c in terms])
         own = np.array([len(t) for t, _ in terms])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), own)
+        doc = np.repeat(np.arange(len(ids)), own)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, mean)))
+        slot_df = counted(term)[1]
         by = np.argsort(term, kind="stable")
-        _, self.df = counted(term)
-        self.first = np.cumsum(self.df) - self.df
-        self.doc, self.weight, self.n = doc[by], weight[by], len(ids)
         self.slot = np.empty(len(term), np.int64)
-        self.slot[by] = np.repeat(np.arange(len(self.df)), self.df)
+        self.slot[by] = np.repeat(np.arange(len(slot_df)), slot_df)
         self.edge = np.concatenate([[0], np.cumsum(own)])
+        # terms that a quarter of the shard holds are rows of a matrix, at most four times as large as their postings; the others' postings are gathered
+        wide = slot_df > max(1, len(ids) // 4)
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.matrix, common = np.zeros((int(wide.sum()), len(ids))), wide[self.slot]
+        self.matrix[self.row[self.slot[common]], doc[common]] = weight[common]
+        own = by[~common[by]]
+        self.df = np.where(wide, 0, slot_df)
+        self.first = np.cumsum(self.df) - self.df
+        self.doc, self.weight, self.n, self.held = doc[own], weight[own], len(ids), len(ids)
+
+    def drop(self, alive: np.ndarray) -> None:
+        """Forgets the postings of documents that are used up; those of others keep their weights."""
+        own = alive[self.doc]
+        slot = np.repeat(np.arange(len(self.df)), self.df)[own]
+        self.doc, self.weight, self.held = self.doc[own], self.weight[own], int(alive.sum())
+        self.df = np.bincount(slot, minlength=len(self.df))
+        self.first = np.cumsum(self.df) - self.df
 
     def neighbours(self, doc: int) -> np.ndarray:
         """Other documents with a positive score for all of the document's terms, best first, ties by number."""
         t = self.slot[self.edge[doc] : self.edge[doc + 1]]
-        t = t[self.df[t] > 1]
-        if not len(t):
-            return np.zeros(0, np.int64)
-        size = self.df[t]
-        end = np.cumsum(size)
-        at = np.repeat(self.first[t] - end + size, size) + np.arange(end[-1])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        common = self.row[t]
+        score = self.matrix[common[common >= 0]].sum(0)
+        t = t[self.df[t] > 0]
+        if len(t):
+            size = self.df[t]
+            end = np.cumsum(size)
+            at = np.repeat(self.first[t] - end + size, size) + np.arange(end[-1])
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
         score[doc] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -233,27 +258,33 @@ def pack(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIND
     index = Shard([i[:-1] for i in ids], idf, mean) if (left > 0).any() else None
     seeds = list(np.argsort(-left, kind="stable"))
     tail: list[tuple[int, int, int]] = []
+    alive = int((left > 0).sum())
     for at, seed in enumerate(seeds):
         while left[seed] > 0:
             took, room = [], window
 
             def take(d):
-                nonlocal room
+                nonlocal room, alive
                 n = int(min(room, left[d]))
                 took.append((int(d), start[d], n))
                 start[d] += n
                 left[d] -= n
                 room -= n
+                alive -= int(left[d] == 0)
 
             take(seed)
             if room:
+                if 2 * alive < index.held:
+                    index.drop(left > 0)
                 near = index.neighbours(seed)
                 near = near[left[near] > 0]
-                for d in near:  # whole rests first
-                    if left[d] <= room:
-                        take(d)
-                    if not room:
+                rest = left[near].tolist()
+                least = min(rest, default=0)
+                for d, n in zip(near.tolist(), rest):  # whole rests first
+                    if room < least or not room:
                         break
+                    if n <= room:
+                        take(d)
                 if room:  # then the nearest is cut
                     near = near[left[near] > 0]
                     if len(near):
@@ -294,7 +325,7 @@ def encoded(docs: DataFrame, spec: str, end: int, id_col: str, text_col: str) ->
 
     size = max(Tokenizer.from_str(spec).get_vocab(True).values(), default=0) + 1
     size = max(size, end + 1)
-    kind, held, sent = "<u2" if size <= 1 << 16 else "<u4", [], docs.sparkSession.sparkContext.broadcast(spec)
+    kind, sent = "<u2" if size <= 1 << 16 else "<u4", docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
         import os
@@ -302,14 +333,16 @@ def encoded(docs: DataFrame, spec: str, end: int, id_col: str, text_col: str) ->
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if not held:
-            held.append(Encoder(sent.value))
+        kept, name = keeper(), hashlib.sha256(sent.value.encode()).digest()
+        if name not in kept:
+            kept.clear()
+            kept[name] = Encoder(sent.value)
         row, df = TaskContext.get().partitionId() << 40, np.zeros(size, np.int64)
         lots = [(mix(np.arange(1, size + 1, dtype=U64) * U64(2 * j + 3)) >> U64(33)).astype(np.int64) for j in range(MINIMA)]
         for batch in batches:
             for lo in range(0, len(batch), 128):
                 part = batch.slice(lo, 128)
-                ids = [np.frombuffer(x, "<u4") for x in held[0](part.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist())]
+                ids = [np.frombuffer(x, "<u4") for x in kept[name](part.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist())]
                 own = [counted(i.astype(kind))[0] for i in ids]
                 n = np.array([len(t) for t in own])
                 term, full = np.concatenate(own), np.flatnonzero(n)
@@ -373,6 +406,7 @@ def packed(docs: DataFrame, spec: str, end: int = 1, window: int = WINDOW, shard
     def run(batches):
         from pyspark import TaskContext
 
+        keeper().clear()  # all texts are encoded
         base, (idf, mean) = TaskContext.get().partitionId() << 34, sent.value
         keys, blobs, tokens = [], [], 0
 

@@ -150,7 +150,7 @@ def test_neighbours_equal_plain_bm25():
 
     r = np.random.RandomState(2)
     topic = [r.randint(2, 4000, 200) + 4000 * k for k in range(5)]
-    ids = [r.choice(topic[i % 5], r.randint(1, 200)) for i in range(50)] + [np.zeros(0, np.int64), np.array([7, 30000])]
+    ids = [np.append(r.choice(topic[i % 5], r.randint(1, 200)), r.randint(30000, 30040, r.randint(0, 80))) for i in range(50)] + [np.zeros(0, np.int64), np.array([7, 30000])]
     ids.append(ids[3])
     count = [Counter(i.tolist()) for i in ids]
     df = Counter(t for c in count for t in c)
