@@ -165,7 +165,7 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def across(star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, percent: int) -> DataFrame:
+def across(scratch: Scratch, star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that stars leave open: members of one signature in different components, one of each set of equal texts.
 
     node: (id, n, f, d1, d2, a sketch); far: (a = pivot, b, least, most), bounds of the tokens that they share. Pairs with the pivot have
@@ -176,21 +176,30 @@ def across(star: DataFrame, found: DataFrame, node: DataFrame, far: DataFrame, p
     has all its rare tokens among them: two texts that share a rare token meet there, so others share frequent tokens only, f of them at most, and link only if
     both f reach `percent` of 100 + `percent` parts of the sum of their sizes. Before any join this drops members for which the signature's smallest member is too large:
     of a group of copies with changes of their own, however large, all that are too far from the pivot to link with it, since what they share with any copy they share with the pivot.
+    That test needs counts alone, so digests and bounds are joined to the members that pass it only, and sketches to those whose signature still has members apart once equal
+    texts are one; the steps before are written, which frees their shuffles.
     What x and y share lies in the pivot, or it is a token of x that the pivot doesn't hold; so they share at most what y and the pivot do and the number of such tokens
     of x. That a token of x's prefix met no other prefix says nothing: others may hold it beyond theirs. Sketches bound it too.
     """
-    member = star.join(found, "id")
     main = F.max(F.when(F.col("pivot") == F.col("id"), F.col("component"))).alias("main")
-    open_ = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("sig", "main")
-    size = node.select("id", "n", "f", "d1", "d2", *SKETCHED)
+    open_ = scratch.write(star.join(found, "id").groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("sig", "main"))
+    scratch.release()
+    size = node.select("id", "n", "d1", "d2")
     far = far.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    own = member.where("pivot <> id").join(open_, "sig").join(size, "id").withColumn("f", F.when(F.col("sig") % 2 == 0, F.col("n")).otherwise(F.col("f")))
     reach = lambda f, n, m: f * (100 + percent) >= (n + m) * percent
-    low = own.groupBy("sig").agg(F.min("n").alias("low"))
-    own = own.join(low, "sig").where(reach(F.col("f"), F.col("n"), F.col("low")))
-    own = own.join(far, ["pivot", "id"], "left").withColumn("most", F.coalesce("most", "n")).withColumn("other", F.col("n") - F.coalesce("least", F.lit(0)))
+    shared = F.when(F.col("sig") % 2 == 0, F.col("n")).otherwise(F.col("f")).alias("f")
+    every = scratch.write(star.where("pivot <> id").select("sig", "pivot", "id").join(open_, "sig").join(found, "id").join(node.select("id", "n", "f"), "id").select("sig", "main", "pivot", "id", "component", "n", shared))
+    scratch.release()
+    low = every.groupBy("sig").agg(F.min("n").alias("low"))
+    own = scratch.write(every.join(low, "sig").where(reach(F.col("f"), F.col("n"), F.col("low"))).drop("n", "low"))
+    scratch.drop(every, open_)
+    scratch.release()
+    own = own.join(size, "id").join(far, ["pivot", "id"], "left").withColumn("most", F.coalesce("most", "n")).withColumn("other", F.col("n") - F.coalesce("least", F.lit(0)))
     kept = ("n", "f", "id", "component", "most", "other", *SKETCHED)
-    own = own.groupBy("sig", "main", "n", "d1", "d2").agg(F.min(F.struct(*kept[1:])).alias("m")).select("sig", "main", "n", "m.*")
+    own = scratch.write(own.groupBy("sig", "main", "n", "d1", "d2").agg(F.min(F.struct("f", "id", "component", "most", "other")).alias("m")).select("sig", "main", "n", "m.*"))
+    scratch.release()
+    apart = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("component") != F.col("main")).alias("far")).where("lo <> hi AND far").select("sig")
+    own = own.join(apart, "sig", "left_semi").join(node.select("id", *SKETCHED), "id")
     x = own.where("component <> main").select("sig", *[F.col(c).alias(f"{c}1") for c in kept])
     y = own.select("sig", *[F.col(c).alias(f"{c}2") for c in kept])
     share = F.least("f1", "f2", F.col("most1") + F.col("other2"), F.col("most2") + F.col("other1"), F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
@@ -234,7 +243,7 @@ def joined(scratch: Scratch, docs: DataFrame, percent: int = 80, k: int = 5, id_
     links = scratch.write(copies.union(met.where(C.similar(percent)).select("a", "b")).where("a <> b").distinct())
     every = node.select("id").distinct()
     found = scratch.write(components(scratch, every, links))
-    rest = scratch.write(C.bounded(across(star, found, node, far, percent), node).where(C.similar(percent, "most")).select("a", "b"))
+    rest = scratch.write(C.bounded(across(scratch, star, found, node, far, percent), node).where(C.similar(percent, "most")).select("a", "b"))
     scratch.drop(star)
     scratch.release()
     if not rest.isEmpty():

@@ -208,7 +208,7 @@ def left_open(scratch: Scratch, star: DataFrame, found: DataFrame, whole: DataFr
     share = F.least(F.col("n1") - C.alone("1", "2"), F.col("n2") - C.alone("2", "1"))
     near = share * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
     out.append(x.join(y, "sig").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & near).select(F.col("id1").alias("a"), F.col("id2").alias("b")))
-    out.append(across(star, held, size, far, percent))
+    out.append(across(scratch, star, held, size, far, percent))
     return reduce(DataFrame.union, out).distinct()
 
 
