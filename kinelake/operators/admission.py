@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.operators.graph import checkpointed
+
 #: Tolerance of sums of timestamps.
 EPS = 1e-9
 
@@ -118,13 +120,13 @@ def seen_apart(rows: DataFrame, least: int = 3, span: float = 0.25) -> DataFrame
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their rank in an order over all rows, found in two passes so that no task holds them all: rows are range-partitioned by the order, counted a partition, and
-    numbered within it on top of the counts before."""
-    x = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    x = x.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    """rows with their rank in an order over all rows, found in two passes so that no task holds them all: rows are sorted over range partitions, numbered within each, and what the
+    partitions before hold is added. The numbered rows are checkpointed, as another evaluation could draw other ranges."""
+    x = checkpointed(rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    x = x.withColumn("__p", F.shiftright("__m", 33)).withColumn("__n", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     before = x.groupBy("__p").agg(F.max("__n").alias("__c"))  # one row a partition
     before = before.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    return x.join(F.broadcast(before), "__p").withColumn(name, (F.col("__n") + F.col("__b")).cast("long")).drop("__p", "__n", "__b")
+    return x.join(F.broadcast(before), "__p").withColumn(name, (F.col("__n") + F.col("__b")).cast("long")).drop("__m", "__p", "__n", "__b")
 
 
 def selection_first(threshold: float) -> list[Column]:

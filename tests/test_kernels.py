@@ -189,3 +189,20 @@ def test_timecodes_and_durations_at_the_edges(spark):
     assert [r.b for r in got][2:5] == ["00:01:00:00", "00:10:00:00", "25:00:00:00"] and got[3].c == "00:10:00:00"
     rates = spark.createDataFrame([(23.976,), (25.0,), (12.3456789,), (0.0,), (float("nan"),), (float("inf"),), (None,)], "f double")
     assert [r[0] for r in rates.select(frame_duration(F.col("f"))).collect()] == ["1001/24000s", "1/25s", "1000000/12345679s", "1/1s", "1/1s", "1/1s", "1/1s"]
+
+
+def test_ranks_over_many_partitions_lose_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from kinelake.operators import admission
+
+    rows = spark.range(200000, numPartitions=8).select("id", (F.col("id") * 7919 % 200000).alias("score"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = admission.ranked(rows, [F.desc("score")], "rank").select(F.count("*"), F.sum(F.abs(F.col("rank") - (200000 - F.col("score")))), F.countDistinct("rank"), F.max("wide").isNotNull()).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tuple(got)[:3] == (200000, 0, 200000)
