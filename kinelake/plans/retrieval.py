@@ -133,12 +133,8 @@ def rank_and_organization_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     h AS (SELECT q, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 3) AS h3, count(*) FILTER (WHERE rank <= 10) AS h10 FROM r JOIN p USING (q, item) WHERE rank <= 10 GROUP BY q)
     SELECT n.q AS query_id, round(coalesce(h1, 0) / n, 6) AS recall_1, round(coalesce(h3, 0) / n, 6) AS recall_3, round(coalesce(h10, 0) / n, 6) AS recall_10, round(coalesce(1 / first_rank, 0), 6) AS reciprocal_rank FROM n LEFT JOIN h USING (q)""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).select("id", "shot")
-    s = similarity.pairs_above(vectors(spark, sf_dir), -1.0)
-    both = s.select(F.col("i").alias("query_id"), F.col("j").alias("item"), "score").union(s.select("j", "i", "score"))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))).where("rank <= 10")
-    positives = v.withColumnRenamed("id", "query_id").join(v.withColumnRenamed("id", "item"), "shot").where("query_id <> item").select("query_id", "item")
-    m = evidence.retrieval_metrics(ranked, positives, (1, 3, 10))
+    v = vectors(spark, sf_dir)
+    m = evidence.group_retrieval_metrics(similarity.nearest(v, 10), v.select("id", F.col("shot").alias("group")), (1, 3, 10))
     return m.select("query_id", *[r6(F.col(c), c) for c in ("recall_1", "recall_3", "recall_10", "reciprocal_rank")])
 
 
