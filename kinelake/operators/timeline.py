@@ -5,6 +5,8 @@ A timeline is (source, t, ...) with t in seconds on the source's own clock; an i
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +63,20 @@ def overlapping_pairs(intervals: DataFrame, cell: float) -> DataFrame:
 def range_pairs(rows: DataFrame, key: str, near: dict[str, float]) -> DataFrame:
     """Pairs (a, b) of keys, a < b, whose columns all differ by at most the given widths.
 
-    The first column is cut into cells of its width; a row meets the rows of its own and the two neighbouring cells by an equi-join, and the rest are residual
-    predicates.
+    The first three columns are cut into cells a little wider than their widths; a row meets the rows of its own cell and of half of the neighbouring ones, so two rows meet once, by an
+    equi-join on all cells, and the widths are residual predicates.
     """
-    first, width = next(iter(near.items()))
-    cell = F.floor(F.col(first) / width)
-    a = rows.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in near], F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = rows.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in near], cell.alias("cell"))
-    ok = F.col("a") < F.col("b")
+    cells = list(near)[:3]
+    cell = [F.floor(F.col(c) / (near[c] * (1 + 1e-9))) for c in cells]
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]
+    at = F.explode(F.array(*[F.struct(*[(x + F.lit(d)).alias(f"c{k}") for k, (x, d) in enumerate(zip(cell, o))], F.lit(not any(o)).alias("own")) for o in ahead]))
+    x = rows.select(F.col(key).alias("x"), *[F.col(c).alias(f"x_{c}") for c in near], at.alias("at")).select("*", "at.*").drop("at")
+    y = rows.select(F.col(key).alias("y"), *[F.col(c).alias(f"y_{c}") for c in near], *[x.alias(f"c{k}") for k, x in enumerate(cell)])
+    ok = (~F.col("own") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
     for c, w in near.items():
-        ok = ok & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= w)
-    return a.join(b, "cell").where(ok).drop("cell")
+        ok = ok & (F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")) <= w)
+    side = lambda f, k: [f("x", "y").alias(k), *[F.when((F.col("x") < F.col("y")) == (k == "a"), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{k}_{c}") for c in near]]
+    return x.join(y, [f"c{k}" for k in range(len(cells))]).where(ok).select(*side(F.least, "a"), *side(F.greatest, "b"))
 
 
 def merged(intervals: DataFrame) -> DataFrame:

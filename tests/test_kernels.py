@@ -206,3 +206,21 @@ def test_ranks_over_many_partitions_lose_no_row(spark):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert tuple(got)[:3] == (200000, 0, 200000)
+
+
+def test_range_pairs_meet_in_cells_of_every_column(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from kinelake.operators import timeline
+
+    r = np.random.RandomState(2)
+    at = [(int(k), float(x) / 10, int(z)) for k, (x, z) in enumerate(zip(r.randint(0, 400, 300), r.randint(-6, 6, 300)))]
+    rows = spark.createDataFrame(at, "k long, x double, z int")
+    got = timeline.range_pairs(rows, "k", {"x": 2.0, "z": 1.0})
+    assert sorted((p.a, p.b) for p in got.collect()) == [(a, b) for (a, x, z), (b, u, w) in itertools.combinations(at, 2) if abs(x - u) <= 2.0 and abs(z - w) <= 1.0]
+    assert all(p.a_x == at[p.a][1] and p.b_z == at[p.b][2] for p in got.collect())
+    far = spark.range(40000).select("id", F.lit(1.0).alias("x"), (F.col("id") * 3).alias("z"))  # one cell of x; only z tells rows apart
+    made = timeline.range_pairs(far, "id", {"x": 2.0, "z": 1.0})
+    assert made.count() == 0 and "c1" in made._jdf.queryExecution().optimizedPlan().toString()
