@@ -23,8 +23,14 @@ def consensus(pairs: DataFrame, key: list[str], left: str, right: str, score: st
     interpolated medians. Everything else is unknown and has no score. Each side is one aggregation a sample and one a pair of people.
     """
 
-    def side(own: str, n: str, good: str, bad: str) -> DataFrame:
-        one = pairs.groupBy(*key, own).agg(F.count(score).alias("n"), F.count_if(F.col(score) >= same).alias("p"), F.max(score).alias("best"), F.percentile(score, 0.5).alias("mid"))
+    one = lambda own: pairs.groupBy(*key, own).agg(F.count(score).alias("n"), F.count_if(F.col(score) >= same).alias("p"), F.max(score).alias("best"), F.percentile(score, 0.5).alias("mid"))
+    return verdicts(one(left), one(right), key, different, support, least)
+
+
+def verdicts(left: DataFrame, right: DataFrame, key: list[str], different: float, support: float = 2 / 3, least: int = 3) -> DataFrame:
+    """`consensus` from what each sample of either side scores with the other side: (key, ..., n, p, best, mid), its partners, those that reach `same`, the best and the median score."""
+
+    def side(one: DataFrame, n: str, good: str, bad: str) -> DataFrame:
         backed = (F.col("n") >= least) & (F.col("p") >= 2) & (F.col("p") >= support * F.col("n") - 1e-9)
         return one.groupBy(*key).agg(
             F.count("*").alias(n), F.count_if(backed).alias(good), F.max((F.col("n") >= least) & (F.col("best") <= different)).alias(bad), F.sum(F.when(backed, F.col("mid"))).alias(f"{n}_sum")

@@ -28,9 +28,8 @@ def unique_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, verdict, round(CASE WHEN verdict = 'same' THEN (t + t2) / (g + h) END, 6) + 0.0 AS score FROM d""")
 def face_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two groups of face samples are one person, by support in both directions."""
-    v = vectors(spark, sf_dir).select("id", "shot")
-    s = similarity.pairs_above(vectors(spark, sf_dir), -1.0).join(v.select(F.col("id").alias("i"), F.col("shot").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("shot").alias("b")), "j").where("a < b")
-    return identity.consensus(s, ["a", "b"], "i", "j", "score", 0.05, 0.1, 0.25).select("a", "b", "verdict", r6(F.col("score"), "score"))
+    left, right = similarity.support(vectors(spark, sf_dir), 0.05)
+    return identity.verdicts(left, right, ["a", "b"], 0.1, 0.25).select("a", "b", "verdict", r6(F.col("score"), "score"))
 
 
 @query("""WITH {timeline}, s AS (SELECT source, floor(t / 604800)::BIGINT AS wk, floor(t / 3600)::BIGINT * 3600.0 AS t, round(v) AS yaw FROM timeline), c AS (SELECT source, wk, t, min(yaw) AS lo, max(yaw) AS hi FROM s GROUP BY 1, 2, 3 HAVING min(yaw) = max(yaw)),
