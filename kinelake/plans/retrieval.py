@@ -83,10 +83,7 @@ def degree_one_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity clusters within each label, by complete links."""
-    v = vectors(spark, sf_dir)
-    s = similarity.pairs_above(v, -1.0)
-    s = s.join(v.select(F.col("id").alias("i"), "shot"), "i").join(v.select(F.col("id").alias("j"), F.col("shot").alias("other")), "j").where("shot = other")
-    return graph.complete_links("shot", s.select("shot", "i", "j", "score"), v.select("shot", "id"), link=0.2, conflict=0.0)
+    return graph.complete_links_of_vectors(vectors(spark, sf_dir), "shot", link=0.2, conflict=0.0)
 
 
 _GATED = f"""{_ALL}, g AS (SELECT i, j, score, CASE WHEN si = sj AND abs(i - j) <= 3 THEN 'source_overlap' WHEN si = sj THEN 'same_shot' WHEN abs(i - j) <= 20 AND score >= 0.3 THEN 'nearby_context'
