@@ -78,21 +78,38 @@ def quota_select(left: list, right: list, quota: int) -> list[int]:
             used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
             chosen.append(k)
     if quota == 1:
-        grown = True
-        while grown:
-            grown = False
-            at = {x: k for k in chosen for x in (left[k], right[k])}
-            free = [k for k in range(len(left)) if k not in set(chosen)]
-            for k in list(chosen):
-                a, b = left[k], right[k]
-                with_a = [f for f in free if a in (left[f], right[f]) and (left[f] if right[f] == a else right[f]) not in at]
-                with_b = [f for f in free if b in (left[f], right[f]) and (left[f] if right[f] == b else right[f]) not in at]
-                pick = next(((p, q) for p in with_a for q in with_b if {left[p], right[p]} - {a} != {left[q], right[q]} - {b}), None)
-                if pick:
-                    chosen.remove(k)
-                    chosen += pick
-                    grown = True
-                    break
+        # sides that are used stay used, so what can't be re-paired now can't be later, and a side's own rows are met once
+        taken, at = {x for k in chosen for x in (left[k], right[k])}, {}
+        for f, (a, b) in enumerate(zip(left, right)):
+            if a != b:
+                at.setdefault(a, []).append((f, b))
+                at.setdefault(b, []).append((f, a))
+        rows = {x: iter(r) for x, r in at.items()}
+        heads: dict = {}
+
+        def open_rows(x):
+            """The rows of x whose other side is unused, in order; those that were passed are not looked at again."""
+            heads[x] = [r for r in heads.get(x, ()) if r[1] not in taken]
+            yield from heads[x]
+            for r in rows.get(x, ()):
+                if r[1] not in taken:
+                    heads[x].append(r)
+                    yield r
+
+        kept, turn = [], 0
+        while turn < len(chosen):
+            a, b = left[chosen[turn]], right[chosen[turn]]
+            p = next(open_rows(a), None)
+            q = p and (next((r for r in open_rows(b) if r[1] != p[1]), None))
+            if p and not q and (q := next(open_rows(b), None)):
+                p = next((r for r in open_rows(a) if r[1] != q[1]), None)
+            if p and q:
+                chosen += [p[0], q[0]]
+                taken |= {p[1], q[1]}
+            else:
+                kept.append(chosen[turn])
+            turn += 1
+        chosen = kept
     return sorted(chosen)
 
 

@@ -224,3 +224,39 @@ def test_range_pairs_meet_in_cells_of_every_column(spark):
     far = spark.range(40000).select("id", F.lit(1.0).alias("x"), (F.col("id") * 3).alias("z"))  # one cell of x; only z tells rows apart
     made = timeline.range_pairs(far, "id", {"x": 2.0, "z": 1.0})
     assert made.count() == 0 and "c1" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quota_equals_a_plain_version_and_ends_on_many_rows():
+    def plain(left, right):
+        chosen, used = [], set()
+        for k, (a, b) in enumerate(zip(left, right)):
+            if a not in used and b not in used:
+                used |= {a, b}
+                chosen.append(k)
+        grown = True
+        while grown:
+            grown, at = False, {x for k in chosen for x in (left[k], right[k])}
+            free = [k for k in range(len(left)) if k not in chosen]
+            for k in list(chosen):
+                ends = left[k], right[k]
+                a, b = ([(f, x) for f in free for own, x in ((left[f], right[f]), (right[f], left[f])) if own == e and x not in at] for e in ends)
+                pick = next(((p[0], q[0]) for p in a for q in b if p[1] != q[1]), None)
+                if pick:
+                    chosen.remove(k)
+                    chosen += pick
+                    grown = True
+                    break
+        return sorted(chosen)
+
+    for seed in range(60):
+        r = np.random.RandomState(seed)
+        left = r.randint(0, 25, r.randint(1, 60))
+        right = (left + r.randint(1, 25, len(left))) % 25
+        assert selection.quota_select(left.tolist(), right.tolist(), 1) == plain(left.tolist(), right.tolist())
+    r = np.random.RandomState(1)
+    left = r.randint(0, 6000, 40000)
+    import time
+
+    start = time.process_time()
+    got = selection.quota_select(left.tolist(), ((left + r.randint(1, 6000, 40000)) % 6000).tolist(), 1)
+    assert len(got) > 2500 and time.process_time() - start < 20
