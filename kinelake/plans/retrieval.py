@@ -180,10 +180,10 @@ def context_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate nearest neighbours by random projections, with recall against the exact join."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = vectors(spark, sf_dir).select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("f"))
     model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=1.0, numHashTables=12, seed=1).fit(v)
-    near = model.approxSimilarityJoin(v, v, 1.14, "d").select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j")).where("i < j")
+    near = similarity.hashed_pairs(model.transform(v).select("id", vector_to_array("f").alias("v"), F.transform("h", lambda x: F.element_at(vector_to_array(x), 1)).alias("h")), 1.14)
     true = similarity.pairs_above(vectors(spark, sf_dir), 1 - 1.14**2 / 2).select("i", "j")
     return true.join(near.withColumn("hit", F.lit(1)), ["i", "j"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
