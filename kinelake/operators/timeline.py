@@ -6,10 +6,16 @@ A timeline is (source, t, ...) with t in seconds on the source's own clock; an i
 from __future__ import annotations
 
 import itertools
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def asof_forward(requests: DataFrame, frames: DataFrame, within: float) -> DataFrame:
     """requests (source, t, ...) with frame_t: the source's first frame at or after t, no later than `within`; null if none.
@@ -79,6 +85,72 @@ def range_pairs(rows: DataFrame, key: str, near: dict[str, float]) -> DataFrame:
     return x.join(y, [f"c{k}" for k in range(len(cells))]).where(ok).select(*side(F.least, "a"), *side(F.greatest, "b"))
 
 
+def seen_together(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b, together, span) of sources a < b that share `least` slots or more, of distinct (source, slot) rows: how many, and from the first to the last of them.
+
+    Sources are dealt to blocks by a hash, and a block with its slots travels as one row to each pair of blocks it belongs to. Shared slots are counted by a matrix product, the first
+    and the last one found in words of 32 slots; there is no row of each meeting, only the pairs found.
+    """
+    rows = rows.select(F.col("source").cast("long").alias("source"), F.col("slot").cast("long").alias("slot")).where("source IS NOT NULL AND slot IS NOT NULL")
+    n = rows.select("source").distinct().count()
+    blocks = max(1, -(-n // 4096), min(16, -(-n // 512)))
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, who = np.unique(t.column("source").to_numpy(), return_inverse=True)
+        slots, at = np.unique(t.column("slot").to_numpy(), return_inverse=True)
+        order = np.argsort(who, kind="stable")
+        kind = np.uint16 if len(slots) <= 1 << 16 else np.int32
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": [ids.tobytes()], "counts": [np.bincount(who, minlength=len(ids)).astype(np.int32).tobytes()], "slots": [slots.tobytes()], "at": [at[order].astype(kind).tobytes()]})
+
+    b = rows.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, counts binary, slots binary, at binary")
+    left = b.withColumn("q", F.explode(F.sequence("block", F.lit(blocks - 1)))).withColumnRenamed("block", "p")
+    right = b.withColumn("p", F.explode(F.sequence(F.lit(0), "block"))).select("p", F.col("block").alias("q"), *[F.col(c).alias(f"{c}2") for c in ("ids", "counts", "slots", "at")])
+
+    def marks(counts, slots, at, shared):
+        counts = np.frombuffer(counts, np.int32)
+        at = np.frombuffer(at, np.uint16 if len(at) == 2 * counts.sum() else np.int32)
+        of = np.searchsorted(shared, slots)
+        known = np.isin(slots, shared)
+        m = np.zeros((len(counts), -(-len(shared) // 32) * 32), bool)
+        who = np.repeat(np.arange(len(counts)), counts)
+        m[who[known[at]], of[at[known[at]]]] = True
+        return m, np.packbits(m, 1, "little").view(np.uint32)
+
+    def run(batches):
+        for t in batches:
+            for k in range(t.num_rows):
+                r = t.slice(k, 1).to_pylist()[0]
+                i, j, s, s2 = (np.frombuffer(r[c], np.int64) for c in ("ids", "ids2", "slots", "slots2"))
+                shared = np.intersect1d(s, s2)
+                if not len(shared):
+                    continue
+                (m, w), (m2, w2) = marks(r["counts"], s, r["at"], shared), marks(r["counts2"], s2, r["at2"], shared)
+                f2, w2 = m2.astype(np.float32).T, np.ascontiguousarray(w2.T)
+                place = np.append(shared, [0] * 31)
+                for u in range(0, len(i), 64):
+                    together = m[u : u + 64].astype(np.float32) @ f2
+                    lo, hi = np.zeros(together.shape, np.uint32), np.zeros(together.shape, np.uint32)
+                    first, last = np.zeros(together.shape, np.int32), np.zeros(together.shape, np.int32)
+                    for x in range(len(w2)):
+                        both = w[u : u + 64, x, None] & w2[x]
+                        some = both != 0
+                        np.copyto(hi, both, where=some)
+                        np.copyto(last, x, where=some)
+                        some &= lo == 0
+                        np.copyto(lo, both, where=some)
+                        np.copyto(first, x, where=some)
+                    ok = together >= least
+                    if r["p"] == r["q"]:
+                        ok &= i[u : u + 64, None] < j[None]
+                    a, c = np.nonzero(ok)
+                    lo, hi = lo[a, c], hi[a, c]
+                    bit = lambda z: np.frexp(z.astype(np.float64))[1] - 1
+                    span = place[32 * last[a, c] + bit(hi)] - place[32 * first[a, c] + bit(lo & (~lo + np.uint32(1)))]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(i[u + a], j[c]), "b": np.maximum(i[u + a], j[c]), "together": together[a, c].astype(np.int64), "span": span})
+
+    return left.join(right, ["p", "q"]).mapInArrow(run, "a long, b long, together long, span long")
+
+
 def merged(intervals: DataFrame) -> DataFrame:
     """Each source's intervals (source, s, e) with those that overlap or touch as one: (source, s, e, n)."""
     w = Window.partitionBy("source").orderBy("s", "e")

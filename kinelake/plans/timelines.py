@@ -72,8 +72,7 @@ def duplicate_intervals_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covisible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources seen in the same time slots, three times or more: different people."""
     b = timeline(spark, sf_dir).select("source", F.floor(F.col("t") / 3600).alias("slot")).distinct()
-    x = b.withColumnRenamed("source", "a").join(b.withColumnRenamed("source", "b"), "slot").where("a < b")
-    return x.groupBy("a", "b").agg(F.count("*").alias("together"), (F.max("slot") - F.min("slot")).alias("span")).where("together >= 3")
+    return T.seen_together(b, 3)
 
 
 @query("""

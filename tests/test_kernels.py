@@ -260,3 +260,16 @@ def test_quota_equals_a_plain_version_and_ends_on_many_rows():
     start = time.process_time()
     got = selection.quota_select(left.tolist(), ((left + r.randint(1, 6000, 40000)) % 6000).tolist(), 1)
     assert len(got) > 2500 and time.process_time() - start < 20
+
+
+def test_meetings_of_sources_make_no_row_of_each_slot(spark):
+    import itertools
+
+    from kinelake.operators import timeline
+
+    r = np.random.RandomState(3)
+    seen = {k: {int(x) for x in r.choice([-70, 0, 1, 31, 32, 33, 64, 95, 96, 5000, 9000, *range(200, 260)], r.randint(1, 25))} for k in range(1100)}
+    rows = spark.createDataFrame([(k, x) for k, s in seen.items() for x in s], "source long, slot long")
+    met = timeline.seen_together(rows, 3)
+    both = ((a, b, seen[a] & seen[b]) for a, b in itertools.combinations(seen, 2))
+    assert sorted(map(tuple, met.collect())) == [(a, b, len(s), max(s) - min(s)) for a, b, s in both if len(s) >= 3]
