@@ -9,6 +9,8 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,14 +115,91 @@ def quota_select(left: list, right: list, quota: int) -> list[int]:
     return sorted(chosen)
 
 
-def with_quota(rows: DataFrame, group: str, quota: int) -> DataFrame:
-    """rows (group, i, j, score) under a quota for each endpoint, best first (ties by endpoints)."""
+class _Quota:
+    """One group's rows, taken in order as they come: what is chosen, and for re-pairing the rows of which one side is used and the other is not.
+
+    A row whose sides are both used is not looked at again, so it isn't held; a row that neither side's use stops is chosen.
+    """
+
+    def __init__(self, quota: int):
+        self.quota, self.used, self.full, self.held, self.n, self.most = quota, {}, [], [], 0, 1 << 18
+
+    def ends(self, t) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, whether its left and its right side are used up."""
+        return tuple(pc.is_in(t.column(c), value_set=pa.array(self.full, t.schema.field(c).type)).to_numpy(zero_copy_only=False) for c in "ij")
+
+    def open(self, t: pa.Table) -> pa.Table:
+        a, b = self.ends(t)
+        return t.filter(pa.array(t.column("__chosen").to_numpy(zero_copy_only=False) | (a ^ b if self.quota == 1 else False)))
+
+    def add(self, t: pa.Table) -> None:
+        a, b = self.ends(t)
+        chosen, free = np.zeros(t.num_rows, bool), np.flatnonzero(~(a | b))
+        for k, x, y in zip(free.tolist(), *(t.column(c).take(free).to_pylist() for c in "ij")):
+            if self.used.get(x, 0) < self.quota and self.used.get(y, 0) < self.quota:
+                self.used[x], self.used[y] = self.used.get(x, 0) + 1, self.used.get(y, 0) + 1
+                self.full += [z for z in {x, y} if self.used[z] >= self.quota]
+                chosen[k] = True
+        t = self.open(t.append_column("__chosen", pa.array(chosen)))
+        self.held.append(t)
+        self.n += t.num_rows
+        if self.n > self.most:
+            self.shrink()
+            self.most = 2 * self.n + (1 << 18)
+
+    def shrink(self) -> None:
+        for k, t in enumerate(self.held):
+            self.held[k] = self.open(t)
+        self.n = sum(t.num_rows for t in self.held)
+
+    def result(self) -> pa.Table:
+        self.shrink()
+        t, self.held = pa.concat_tables(self.held), []
+        own = t.column("__chosen").to_numpy(zero_copy_only=False)
+        if self.quota == 1:  # a pair is given up for a row of each of its sides, so rows of a side whose partner has none can't win
+            left, _ = self.ends(t)
+            side = pc.if_else(pa.array(left), t.column("i"), t.column("j"))
+            pairs, some = t.filter(pa.array(own)), pc.unique(side.filter(pa.array(~own)))
+            both = pc.and_(pc.is_in(pairs.column("i"), value_set=some), pc.is_in(pairs.column("j"), value_set=some))
+            live = pa.concat_arrays([x for c in "ij" for x in pairs.column(c).filter(both).cast(side.type).chunks] or [pa.array([], side.type)])
+            t = t.filter(pc.or_(pa.array(own), pc.is_in(side, value_set=live)))
+        return t.take(quota_select(t.column("i").to_pylist(), t.column("j").to_pylist(), self.quota)).drop_columns("__chosen")
 
-    def run(p):
-        p = p.sort_values(["score", "i", "j"], ascending=[False, True, True])
-        return p.iloc[quota_select(p.i.tolist(), p.j.tolist(), quota)]
 
-    return rows.groupBy(group).applyInPandas(run, rows.schema)
+def with_quota(rows: DataFrame, group: str, quota: int) -> DataFrame:
+    """rows (group, i, j, score) under a quota for each endpoint, best first (ties by endpoints).
+
+    Spark sorts the rows, on disk where they are many, and a group's rows pass one task a batch at a time: it holds the sides that are used and the rows that may re-pair, not the group.
+    """
+
+    def run(batches):
+        groups, some, n = {}, [], 0
+
+        def pass_on():
+            t = pa.Table.from_batches(some)
+            codes = t.column(group).combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            t, cuts = t.take(order), [0, *(np.flatnonzero(np.diff(codes[order])) + 1).tolist(), t.num_rows]
+            for p, q in zip(cuts[:-1], cuts[1:]):
+                key = t.column(group)[p].as_py()
+                groups.setdefault(key if key == key else "nan", _Quota(quota)).add(t.slice(p, q - p))
+
+        for b in batches:
+            some.append(b)
+            n += b.num_rows
+            if n >= 1 << 16:
+                pass_on()
+                some, n = [], 0
+        if n:
+            pass_on()
+        while groups:
+            yield from groups.popitem()[1].result().to_batches()
+
+    real = dict(rows.dtypes)["score"] in ("double", "float")
+    best = F.when(~F.isnan("score"), F.col("score")) if real else F.col("score")
+    x = rows.repartition(group).sortWithinPartitions(best.desc_nulls_last(), F.asc_nulls_last("i"), F.asc_nulls_last("j"))
+    return x.mapInArrow(run, rows.schema)
 
 
 def diverse_order(score: np.ndarray, families: list[tuple], penalty: float = 0.04) -> list[int]:

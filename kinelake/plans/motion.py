@@ -89,8 +89,9 @@ def greedy_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with the shot of their left vector. Shots are a number for each vector, so they go to the pairs, of which there are many for each vector, and pairs are not shuffled for them."""
     shot = vectors(spark, sf_dir).select(F.col("id").alias("i"), F.col("shot").alias("g"))
-    return similarity.pairs_above(vectors(spark, sf_dir), 0.3).join(shot, "i").select("g", "i", "j", "score")
+    return similarity.pairs_above(vectors(spark, sf_dir), 0.3).join(F.broadcast(shot), "i").select("g", "i", "j", "score")
 
 
 @query()

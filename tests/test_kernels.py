@@ -262,6 +262,30 @@ def test_quota_equals_a_plain_version_and_ends_on_many_rows():
     assert len(got) > 2500 and time.process_time() - start < 20
 
 
+def test_quota_of_a_group_does_not_hold_its_rows(spark, monkeypatch):
+    r = np.random.RandomState(4)
+    rows = [(None if g == 3 else int(g), int(i), int(j), None if x == 0 else float(x)) for g, i, j, x in zip(r.randint(0, 4, 30000), r.randint(0, 400, 30000), r.randint(300, 4000, 30000), r.randint(0, 5000, 30000))]
+    want = {1: [], 2: []}
+    for g in (None, 0, 1, 2):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[3] is None, -(x[3] or 0), x[1], x[2]))
+        for q in want:
+            want[q] += [own[k] for k in selection.quota_select([x[1] for x in own], [x[2] for x in own], q)]
+    whole = selection.quota_select
+
+    def few(left, right, quota):
+        assert len(left) < 2000  # of about 7,500 rows of the group
+        return whole(left, right, quota)
+
+    monkeypatch.setattr(selection, "quota_select", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = {q: selection.with_quota(spark.createDataFrame(rows, "g int, i long, j long, score double").repartition(3), "g", q).collect() for q in want}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in want:
+        assert sorted(map(str, map(tuple, got[q]))) == sorted(map(str, want[q])) and len(want[q]) > 1000
+
+
 def test_meetings_of_sources_make_no_row_of_each_slot(spark):
     import itertools
 
