@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Keys of equal rows that meet others at once in range_pairs.
+CHUNK = 1024
+
 
 def asof_forward(requests: DataFrame, frames: DataFrame, within: float) -> DataFrame:
     """requests (source, t, ...) with frame_t: the source's first frame at or after t, no later than `within`; null if none.
@@ -69,20 +72,29 @@ def overlapping_pairs(intervals: DataFrame, cell: float) -> DataFrame:
 def range_pairs(rows: DataFrame, key: str, near: dict[str, float]) -> DataFrame:
     """Pairs (a, b) of keys, a < b, whose columns all differ by at most the given widths.
 
-    The first three columns are cut into cells a little wider than their widths; a row meets the rows of its own cell and of half of the neighbouring ones, so two rows meet once, by an
-    equi-join on all cells, and the widths are residual predicates.
+    Rows with equal columns travel and are compared as one, with their sorted keys in chunks of CHUNK; the keys of two chunks that are near are paired at the end, without a comparison for each pair.
+    The first three columns are cut into cells a little wider than their widths; a chunk meets the chunks of its own cell and of half of the neighbouring ones, so two chunks meet once, by an
+    equi-join on all cells, and the widths are residual predicates. Cells are dealt over all shuffle partitions, however few bytes they have, as their pairs are many.
     """
     cells = list(near)[:3]
     cell = [F.floor(F.col(c) / (near[c] * (1 + 1e-9))) for c in cells]
     ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]
     at = F.explode(F.array(*[F.struct(*[(x + F.lit(d)).alias(f"c{k}") for k, (x, d) in enumerate(zip(cell, o))], F.lit(not any(o)).alias("own")) for o in ahead]))
-    x = rows.select(F.col(key).alias("x"), *[F.col(c).alias(f"x_{c}") for c in near], at.alias("at")).select("*", "at.*").drop("at")
-    y = rows.select(F.col(key).alias("y"), *[F.col(c).alias(f"y_{c}") for c in near], *[x.alias(f"c{k}") for k, x in enumerate(cell)])
-    ok = (~F.col("own") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
+    # the keys are sorted, so chunks are the same whenever they are made again
+    equal = rows.groupBy(*near).agg(F.sort_array(F.collect_list(key)).alias("keys")).where(F.size("keys") > 0)
+    chunks = equal.select("*", F.explode(F.sequence(F.lit(0), F.size("keys") - 1, F.lit(CHUNK))).alias("part")).withColumn("keys", F.slice("keys", F.col("part") + 1, F.lit(CHUNK)))
+    side = lambda k: [F.col("keys").alias(f"{k}_keys"), F.col("part").alias(f"{k}_part"), *[F.col(c).alias(f"{k}_{c}") for c in near]]
+    n, on = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [f"c{k}" for k in range(len(cells))]
+    x = chunks.select(*side("x"), at.alias("at")).select("*", "at.*").drop("at").repartition(n, *on)
+    y = chunks.select(*side("y"), *[x.alias(f"c{k}") for k, x in enumerate(cell)]).repartition(n, *on)
+    order = [F.struct(*[F.col(f"{k}_{c}") for c in near], F.col(f"{k}_part")) for k in "xy"]
+    ok = ~F.col("own") | (order[0] <= order[1])
     for c, w in near.items():
         ok = ok & (F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")) <= w)
+    met = x.hint("merge").join(y, on).where(ok).withColumn("same", F.col("own") & (order[0] == order[1]))
+    pairs = met.select("*", F.explode("x_keys").alias("x")).select("*", F.explode("y_keys").alias("y")).where((F.col("x") < F.col("y")) | (~F.col("same") & (F.col("x") > F.col("y"))))
     side = lambda f, k: [f("x", "y").alias(k), *[F.when((F.col("x") < F.col("y")) == (k == "a"), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{k}_{c}") for c in near]]
-    return x.join(y, [f"c{k}" for k in range(len(cells))]).where(ok).select(*side(F.least, "a"), *side(F.greatest, "b"))
+    return pairs.select(*side(F.least, "a"), *side(F.greatest, "b"))
 
 
 def seen_together(rows: DataFrame, least: int) -> DataFrame:

@@ -262,6 +262,26 @@ def test_quota_equals_a_plain_version_and_ends_on_many_rows():
     assert len(got) > 2500 and time.process_time() - start < 20
 
 
+def test_range_pairs_compare_equal_rows_once(spark, monkeypatch):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from kinelake.operators import timeline
+
+    monkeypatch.setattr(timeline, "CHUNK", 7)  # equal rows cross chunks
+    r = np.random.RandomState(6)
+    at = [(int(k), None if x == 0 else float(x) / 2, int(z)) for k, (x, z) in enumerate(zip(r.randint(0, 12, 400), r.randint(0, 4, 400)))]
+    got = timeline.range_pairs(spark.createDataFrame(at, "k long, x double, z int").repartition(3), "k", {"x": 1.0, "z": 1.0})
+    want = [(a, b) for (a, x, z), (b, u, w) in itertools.combinations(at, 2) if x is not None and u is not None and abs(x - u) <= 1.0 and abs(z - w) <= 1]
+    pairs = got.collect()
+    assert sorted((p.a, p.b) for p in pairs) == want and all((p.a_x, p.b_z) == (at[p.a][1], at[p.b][2]) for p in pairs)
+    monkeypatch.setattr(timeline, "CHUNK", 1024)
+    same = spark.range(9000).select("id", F.lit(1.0).alias("x"), (F.col("id") % 3 * 5).alias("z"))
+    made = timeline.range_pairs(same, "id", {"x": 2.0, "z": 1.0})
+    assert made.count() == 3 * 3000 * 2999 // 2 and "collect_list" in made._jdf.queryExecution().optimizedPlan().toString()  # rows meet as chunks of equal ones
+
+
 def test_quota_of_a_group_does_not_hold_its_rows(spark, monkeypatch):
     r = np.random.RandomState(4)
     rows = [(None if g == 3 else int(g), int(i), int(j), None if x == 0 else float(x)) for g, i, j, x in zip(r.randint(0, 4, 30000), r.randint(0, 400, 30000), r.randint(300, 4000, 30000), r.randint(0, 5000, 30000))]
