@@ -262,6 +262,26 @@ def test_quota_equals_a_plain_version_and_ends_on_many_rows():
     assert len(got) > 2500 and time.process_time() - start < 20
 
 
+def test_coverage_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from kinelake.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    shares = [(41, 640), (323, 640), (333, 640), (646, 1280), (1332, 2560), (1, 128), (1, 3), (640, 640)]  # busy days of so many, the last one busy
+    rows = [(2 * n + side, n, s, e) for n, (a, b) in enumerate(shares) for side, s, e in ((0, 0, a - 0.5), (1, b - 0.5, b))]
+    con.execute("CREATE TABLE x (o BIGINT, c BIGINT, s DOUBLE, e DOUBLE)")
+    con.executemany("INSERT INTO x VALUES (?, ?, ?, ?)", rows)
+    at = lambda k: f"make_timestamp((788918400000000 + {k} * 86400000000)::BIGINT)"
+    con.execute(f"CREATE TABLE orders AS SELECT o AS o_orderkey, c AS o_custkey, {at('s')} AS o_orderdate FROM x")
+    con.execute(f"CREATE TABLE lineitem AS SELECT o AS l_orderkey, 1 AS l_linenumber, {at('e')} AS l_shipdate FROM x")
+    for t in ("orders", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["coverage_summary"]).fetchall()
+    assert sorted(map(tuple, catalogue.QUERIES["coverage_summary"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == len(shares)
+
+
 def test_range_pairs_compare_equal_rows_once(spark, monkeypatch):
     import itertools
 
